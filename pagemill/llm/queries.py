@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..tables import load
-from . import tokens
+from . import consistent, lines, near, spans, tokens, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +24,66 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+@query("p2_found")
+def _(spark, folder):
+    found = consistent.changed_lines(load(spark, folder, "page_results"), "result_id", "markdown").withColumn("field", F.lit("markdown"))
+    names = consistent.changed_names(load(spark, folder, "book_contexts")).withColumn("field", F.lit("proper_names"))
+    return found.unionByName(names).select("field", "rec_id", "item_no")
+
+
+@query("p2_consistent_pages")
+def _(spark, folder):
+    return load(spark, folder, "page_results").select("result_id", consistent.consistent_form(F.col("markdown")).alias("markdown"))
+
+
+@query("p2_consistent_names")
+def _(spark, folder):
+    return consistent.consistent_names(load(spark, folder, "book_contexts"))
+
+
+@query("p3_found")
+def _(spark, folder):
+    pairs = near.similar_pairs(load(spark, folder, "page_results"), "result_id", "markdown")
+    return pairs.select(F.col("id_a").alias("result_id_a"), F.col("id_b").alias("result_id_b"))
+
+
+@query("p3_groups")
+def _(spark, folder):
+    return near.similar_groups(load(spark, folder, "page_results"), "result_id", "markdown").withColumnRenamed("id", "result_id")
+
+
+@query("p4_found")
+def _(spark, folder):
+    return spans.shared_spans(load(spark, folder, "page_results"), "result_id", "markdown").select(F.col("id").alias("result_id"), F.col("span_start").cast("long").alias("span_start"), F.col("span_chars").cast("long").alias("span_chars"))
+
+
+@query("p4_shared_shares")
+def _(spark, folder):
+    return spans.shared_shares(load(spark, folder, "page_results"), "result_id", "markdown").withColumnRenamed("id", "result_id")
+
+
+@query("p5_found")
+def _(spark, folder):
+    return lines.repeated_lines(load(spark, folder, "page_results"), "result_id", "scan_site", "markdown").withColumnRenamed("id", "result_id")
+
+
+@query("p5_cleaned_pages")
+def _(spark, folder):
+    cleaned = lines.without_repeated_lines(load(spark, folder, "page_results"), "result_id", "scan_site", "markdown")
+    return cleaned.select(F.col("id").alias("result_id"), F.col("text").alias("markdown"))
+
+
 @query("p6_ids")
 def _(spark, folder):
     return tokens.encode_corpus(load(spark, folder, "documents"))
+
+
+@query("p8_found")
+def _(spark, folder):
+    return truncation.truncated(load(spark, folder, "documents"))
+
+
+@query("p8_rates")
+def _(spark, folder):
+    docs = load(spark, folder, "documents")
+    return truncation.truncation_rates(docs, truncation.truncated(docs))
