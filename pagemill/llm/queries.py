@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load
-from . import consistent, lines, near, spans, tokens, truncation
+from . import consistent, lines, mixture, near, noise, spans, tokens, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,30 @@ def _(spark, folder):
 def _(spark, folder):
     docs = load(spark, folder, "documents")
     return truncation.truncation_rates(docs, truncation.truncated(docs))
+
+
+def _noise_inputs(spark, folder):
+    return (load(spark, folder, name) for name in ("page_results", "books", "book_contexts", "correction_overrides"))
+
+
+@query("p1_found")
+def _(spark, folder):
+    return noise.line_noise(*_noise_inputs(spark, folder))
+
+
+@query("p1_repaired_pages")
+def _(spark, folder):
+    records, books, contexts, overrides = _noise_inputs(spark, folder)
+    cleaned = lines.without_repeated_lines(records, "result_id", "scan_site", "markdown")
+    cleaned = records.drop("markdown").join(cleaned.select(F.col("id").alias("result_id"), F.col("text").alias("markdown")), "result_id")
+    return noise.repaired_pages(cleaned, books, contexts, overrides)
+
+
+@query("p7_mixture")
+def _(spark, folder):
+    return mixture.mixture(load(spark, folder, "documents"), load(spark, folder, "mix_targets"))
+
+
+@query("p7_shares")
+def _(spark, folder):
+    return mixture.share_report(load(spark, folder, "documents"), load(spark, folder, "mix_targets"))
