@@ -2,15 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import difflib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import plain
+
+THRESHOLD, OFFSET, LEAST = 0.985, 64, 80
+
 
 def exact_groups(pages: DataFrame, key: str, text: str) -> DataFrame:
-    """Groups of pages with the same text (text_sha256, pages in order, n_pages). Null texts form no group."""
+    """Groups of pages with the same text (text_sha256, first_page, n_pages). Null texts form no group."""
     return (
         pages.where(F.col(text).isNotNull())
         .groupBy(F.sha2(text, 256).alias("text_sha256"))
-        .agg(F.sort_array(F.collect_list(key)).alias("pages"), F.count("*").alias("n_pages"))
+        .agg(F.min(key).alias("first_page"), F.count("*").alias("n_pages"))
         .where("n_pages > 1")
     )
+
+
+def equal_images(pages: DataFrame) -> DataFrame:
+    """Images that several pages share: (archive_sha256, n_pages, n_volumes); a page that is listed twice counts once.
+    Rows without a digest or page have none."""
+    once = pages.where("archive_sha256 is not null and source_page is not null").select("book_id", "volume", "source_page", "archive_sha256").distinct()
+    counted = once.groupBy("archive_sha256").agg(F.count("*").alias("n_pages"), F.count_distinct("book_id", "volume").alias("n_volumes"))
+    return counted.where("n_pages > 1")
+
+
+def band_pairs(pages: DataFrame, keys: list[str], page: str, text: str, threshold: float = THRESHOLD, offset: int = OFFSET, least: int = LEAST) -> DataFrame:
+    """Pairs of pages of one key that lie at most offset pages apart, have at least least letters and digits, and whose
+    lengths allow the similarity: (keys, first, duplicate, first_chars, duplicate_chars, first_text, duplicate_text).
+
+    A page belongs to one bucket of offset pages and meets the pages of its own and the next one, so that each pair
+    meets once, in an equi-join."""
+    rows = pages.select(*keys, F.col(page).alias("p"), plain(F.col(text)).alias("t")).where(F.length("t") >= least)
+    left = rows.select(*keys, F.col("p").alias("first"), F.col("t").alias("first_text"), F.floor(F.col("p") / offset).alias("bucket"))
+    right = rows.select(*keys, F.col("p").alias("duplicate"), F.col("t").alias("duplicate_text"), F.explode(F.array(F.floor(F.col("p") / offset), F.floor(F.col("p") / offset) - 1)).alias("bucket"))
+    pairs = left.join(right, [*keys, "bucket"]).where((F.col("duplicate") - F.col("first")).between(1, offset))
+    a, b = F.length("first_text"), F.length("duplicate_text")
+    pairs = pairs.where(2.0 * F.least(a, b) / (a + b) >= threshold)
+    return pairs.select(*keys, "first", "duplicate", a.cast("long").alias("first_chars"), b.cast("long").alias("duplicate_chars"), "first_text", "duplicate_text")
+
+
+def _ratios(keys: list[str], threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = []
+            for a, b in zip(batch.column("first_text").to_pylist(), batch.column("duplicate_text").to_pylist(), strict=True):
+                matcher = difflib.SequenceMatcher(None, a, b, autojunk=False)
+                # both are upper bounds, and far cheaper than the ratio
+                values.append(1.0 if a == b else matcher.ratio() if matcher.quick_ratio() >= threshold else 0.0)
+            names = [*keys, "first", "duplicate"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(values, pa.float64())], [*names, "similarity"])
+
+    return run
+
+
+def near_pairs(pages: DataFrame, keys: list[str], page: str, text: str, threshold: float = THRESHOLD, offset: int = OFFSET, least: int = LEAST) -> DataFrame:
+    """Pairs of band_pairs whose matching-blocks ratio reaches threshold: (keys, first, duplicate, similarity)."""
+    pairs = band_pairs(pages, keys, page, text, threshold, offset, least).drop("first_chars", "duplicate_chars")
+    fields = ", ".join(f"{n} {pairs.schema[n].dataType.simpleString()}" for n in [*keys, "first", "duplicate"])
+    return pairs.mapInArrow(_ratios(keys, threshold), f"{fields}, similarity double").where(F.col("similarity") >= threshold)
+
+
+def islands(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs of pairs in which both pages advance by one, in the order of (first, duplicate): (keys, first_start,
+    first_end, duplicate_start, duplicate_end, length). Pairs of one key are few: the output of a threshold."""
+    w = Window.partitionBy(*keys).orderBy("first", "duplicate")
+    goes_on = (F.col("first") == F.lag("first").over(w) + 1) & (F.col("duplicate") == F.lag("duplicate").over(w) + 1)
+    marked = pairs.withColumn("new", F.coalesce((~goes_on).cast("int"), F.lit(1)))
+    numbered = marked.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return (
+        numbered.groupBy(*keys, "island")
+        .agg(F.min("first").alias("first_start"), F.max("first").alias("first_end"), F.min("duplicate").alias("duplicate_start"), F.max("duplicate").alias("duplicate_end"), F.count("*").alias("length"))
+        .drop("island")
+    )

@@ -1,17 +1,36 @@
-"""All queries by name, and their SQL."""
+"""All queries by name, and their SQL. Each runs over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import duplicates
+from ..functions import text as T
+from ..operators import assembly, audit, duplicates, ledger, pages
+from ..streaming import ledger as stream
 from ..tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+#: White space, and the last results with a text, in SQL.
+S = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
+TEXTS = """texts AS (SELECT book_id, volume, source_page, result_id, markdown AS text FROM (
+  SELECT *, row_number() OVER (PARTITION BY book_id, volume, source_page ORDER BY attempt DESC NULLS LAST, result_id DESC) AS k
+  FROM page_results WHERE markdown IS NOT NULL AND markdown <> '' AND error IS NULL) WHERE k = 1)"""
+EXPECTED = """expected AS (SELECT * FROM (SELECT book_id, volume, CAST(unnest(range(1, source_pdf.page_count + 1)) AS INT) AS source_page FROM books) e
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT book_id, volume, unnest(source_pdf.excluded_pages).page AS page FROM books) x
+    WHERE x.book_id = e.book_id AND x.volume = e.volume AND x.page = e.source_page))"""
+CANDIDATES = rf"""lined AS (SELECT book_id, volume, source_page, text, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS raw,
+    generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) AS line FROM texts),
+  titled AS (SELECT *, coalesce(nullif(regexp_extract(raw, '^[{S}]*#{{1,6}}[{S}]+([^{S}].*?)[{S}]*$', 1), ''), nullif(regexp_extract(raw, '^[{S}]*#{{1,6}}([^{S}#].*?)[{S}]*$', 1), '')) AS title FROM lined),
+  found AS (SELECT *, count(*) OVER (PARTITION BY book_id, volume, source_page) AS n FROM titled
+    WHERE regexp_matches(regexp_replace(title, '^[#{S}]+|[#{S}]+$', '', 'g'), '^(第[{T.NUMERALS}]+[章节篇卷部].*|({T.NAMED})([{S}].*)?)$')),
+  candidates AS (SELECT book_id, volume, source_page, CAST(line AS BIGINT) AS line, title, CAST(length(regexp_replace(text, '[{S}]+', '', 'g')) AS BIGINT) AS body_chars,
+    CASE WHEN n >= 2 THEN 'toc-suspect' ELSE 'candidate' END AS status FROM found)"""
+
 
 def query(name: str, sql: str | None = None):
     def keep(f):
@@ -23,10 +42,356 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _texts(spark, folder):
+    return assembly.page_texts(load(spark, folder, "page_results"))
+
+
+# -- inventories -------------------------------------------------------------------------------------------------
+
+
+@query("g01_exact_duplicate_groups", "SELECT sha256(text) AS text_sha256, min(doc_id) AS first_page, count(*) AS n_pages FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def _(spark, folder):
+    return duplicates.exact_groups(load(spark, folder, "documents"), "doc_id", "text")
+
+
 @query(
-    "g01_exact_duplicate_groups",
-    """SELECT sha256(text) AS text_sha256, list(doc_id ORDER BY doc_id) AS pages, count(*) AS n_pages
-       FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""",
+    "g01_equal_images",
+    """SELECT archive_sha256, count(*) AS n_pages, count(DISTINCT book_id || '/' || volume) AS n_volumes FROM (SELECT DISTINCT book_id, volume, source_page, archive_sha256
+       FROM manifest_pages WHERE archive_sha256 IS NOT NULL AND source_page IS NOT NULL) GROUP BY 1 HAVING count(*) > 1""",
 )
 def _(spark, folder):
-    return duplicates.exact_groups(load(spark, folder, "documents"), "doc_id", "text")
+    return duplicates.equal_images(load(spark, folder, "manifest_pages"))
+
+
+@query(
+    "w10_latest_page_rows",
+    """SELECT book_id, volume, source_page, ocr_state, representation, attempts FROM (SELECT *, row_number() OVER (PARTITION BY book_id, volume, source_page
+       ORDER BY loaded_at DESC NULLS LAST, attempts DESC NULLS LAST, ocr_state ASC NULLS FIRST, representation ASC NULLS FIRST) AS k FROM manifest_pages) WHERE k = 1""",
+)
+def _(spark, folder):
+    order = [F.desc("loaded_at"), F.desc("attempts"), F.asc("ocr_state"), F.asc("representation")]
+    rows = load(spark, folder, "manifest_pages").select("book_id", "volume", "source_page", "ocr_state", "representation", "attempts", "loaded_at")
+    return pages.latest(rows, ["book_id", "volume", "source_page"], order).drop("loaded_at")
+
+
+_PATH = "NOT coalesce({0} <> '' AND NOT contains({0}, chr(92)) AND NOT list_has_any(string_split({0}, '/'), ['', '.', '..']), false)"
+_PAGE_RULES = {
+    "state": "NOT coalesce(ocr_state IN ('ok','blank','unsupported','failed','ambiguous','pending'), false)",
+    "form": "NOT coalesce(representation IN ('reflow','hybrid','image','pending'), false)",
+    "pending-form": "ocr_state = 'pending' AND representation <> 'pending'",
+    "ok-form": "ocr_state = 'ok' AND representation NOT IN ('reflow','hybrid')",
+    "other-form": "ocr_state IN ('blank','unsupported','failed','ambiguous') AND representation <> 'image'",
+    "attempts": "NOT coalesce(attempts BETWEEN 0 AND 6, false)",
+    "archive-path": _PATH.format("archive_image"),
+    "ocr-path": _PATH.format("ocr_image"),
+}
+
+
+@query("c01_page_violations", " UNION ALL ".join(f"SELECT book_id, volume, source_page, '{name}' AS rule FROM manifest_pages WHERE {rule}" for name, rule in _PAGE_RULES.items()))
+def _(spark, folder):
+    return pages.page_violations(load(spark, folder, "manifest_pages"))
+
+
+_HEAD = """head AS (SELECT b.*, list_transform(excluded, lambda x: x.page) AS gone FROM (
+    SELECT book_id, volume, schema_version AS version, source_pdf.page_count AS n, source_pdf.included_pages AS included, source_pdf.excluded_pages AS excluded FROM books) b),
+  listed AS (SELECT book_id, volume, list_sort(list(DISTINCT source_page)) AS listed FROM manifest_pages GROUP BY 1, 2),
+  both_sides AS (SELECT h.*, l.listed FROM head h LEFT JOIN listed l ON h.book_id = l.book_id AND h.volume = l.volume)"""
+_VOLUME_RULES = {
+    "version": "coalesce(version <> 1, true)",
+    "page-count": "coalesce(n < 1, true)",
+    "included-order": "included <> list_sort(list_distinct(included))",
+    "excluded-reason": "len(list_filter(excluded, lambda x: coalesce(trim(x.reason) = '', true))) > 0",
+    "excluded-range": "len(list_filter(gone, lambda p: p < 1 OR p > n)) > 0",
+    "excluded-twice": "len(list_distinct(gone)) <> len(gone)",
+    "conservation": "included <> list_filter(range(1, n + 1), lambda p: NOT list_contains(gone, p))",
+    "pages-listed": "coalesce(included <> listed, true)",
+}
+
+
+@query("c01_volume_violations", f"WITH {_HEAD} " + " UNION ALL ".join(f"SELECT book_id, volume, '{name}' AS rule FROM both_sides WHERE {rule}" for name, rule in _VOLUME_RULES.items()))
+def _(spark, folder):
+    return pages.volume_violations(load(spark, folder, "books"), load(spark, folder, "manifest_pages"))
+
+
+@query("p02_expected_pages", f"WITH {EXPECTED} SELECT * FROM expected")
+def _(spark, folder):
+    return pages.expected_pages(load(spark, folder, "books"))
+
+
+@query(
+    "u02_missing_and_extra_pages",
+    f"""WITH {EXPECTED}, found AS (SELECT DISTINCT book_id, volume, source_page FROM page_results)
+        SELECT *, 'missing' AS side FROM (SELECT * FROM expected EXCEPT SELECT * FROM found)
+        UNION ALL SELECT *, 'extra' AS side FROM (SELECT * FROM found EXCEPT SELECT * FROM expected)""",
+)
+def _(spark, folder):
+    return pages.missing_and_extra(pages.expected_pages(load(spark, folder, "books")), load(spark, folder, "page_results"), ["book_id", "volume", "source_page"])
+
+
+@query(
+    "o01_natural_order",
+    r"""SELECT book_id, volume, ocr_image, CAST(row_number() OVER (PARTITION BY book_id, volume ORDER BY list_transform(regexp_extract_all(stem, '(\d+)', 1), lambda x: CAST(x AS BIGINT)), stem, ocr_image) AS INT) AS place
+        FROM (SELECT *, regexp_replace(regexp_extract(ocr_image, '([^/]*)$', 1), '(.)\.[^.]*$', '\1') AS stem FROM (SELECT DISTINCT book_id, volume, ocr_image FROM manifest_pages WHERE ocr_image IS NOT NULL))""",
+)
+def _(spark, folder):
+    files = load(spark, folder, "manifest_pages").where("ocr_image is not null").select("book_id", "volume", "ocr_image").distinct()
+    return pages.natural_order(files, ["book_id", "volume"], "ocr_image")
+
+
+@query(
+    "w03_representative_pages",
+    f"""WITH {EXPECTED}, placed AS (SELECT *, row_number() OVER (PARTITION BY book_id, volume ORDER BY source_page) - 1 AS place, count(*) OVER (PARTITION BY book_id, volume) AS n FROM expected)
+        SELECT book_id, volume, source_page FROM placed
+        WHERE list_contains(list_transform(range(0, 7), lambda i: CAST(round_even((n - 1) * i / 6.0, 0) AS BIGINT)), place)""",
+)
+def _(spark, folder):
+    return pages.representative(pages.expected_pages(load(spark, folder, "books")), ["book_id", "volume"], "source_page")
+
+
+@query(
+    "w04_front_middle_end",
+    f"""WITH {EXPECTED}, placed AS (SELECT *, row_number() OVER (PARTITION BY book_id, volume ORDER BY source_page) - 1 AS place, count(*) OVER (PARTITION BY book_id, volume) AS n FROM expected)
+        SELECT book_id, volume, source_page FROM placed WHERE n <= 15 OR place < 7 OR place >= n - 4 OR place BETWEEN (n - 4) // 2 AND (n - 4) // 2 + 3""",
+)
+def _(spark, folder):
+    return pages.front_middle_end(pages.expected_pages(load(spark, folder, "books")), ["book_id", "volume"], "source_page")
+
+
+# -- ledger ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "g03_attempts_per_page",
+    """SELECT book_id, volume, CAST(regexp_extract(page, '([0-9]+)', 1) AS BIGINT) AS page, count(DISTINCT ledger_id) AS attempts FROM request_ledger
+       WHERE event = 'started' AND stage = 'ocr' AND ledger_id IS NOT NULL AND regexp_matches(page, '[0-9]') GROUP BY 1, 2, 3""",
+)
+def _(spark, folder):
+    return ledger.attempts_per_page(load(spark, folder, "request_ledger"))
+
+
+@query(
+    "w09_attempt_pairs",
+    """SELECT ledger_id, book_id, volume, page, CASE WHEN finished IS NULL THEN 'lost' WHEN started IS NULL THEN 'orphan' ELSE status END AS outcome, epoch_ms(finished) - epoch_ms(started) AS elapsed_ms FROM (
+       SELECT ledger_id, min(book_id) AS book_id, min(volume) AS volume, min(CAST(nullif(regexp_extract(page, '([0-9]+)', 1), '') AS BIGINT)) AS page,
+         min(CASE WHEN event = 'started' THEN CAST(ts_utc AS TIMESTAMPTZ) END) AS started, min(CASE WHEN event = 'finished' THEN CAST(ts_utc AS TIMESTAMPTZ) END) AS finished,
+         min(CASE WHEN event = 'finished' THEN status END) AS status
+       FROM request_ledger WHERE ledger_id IS NOT NULL AND event IN ('started', 'finished') GROUP BY 1)""",
+)
+def _(spark, folder):
+    return ledger.attempt_pairs(load(spark, folder, "request_ledger")).drop("started", "finished")
+
+
+@query(
+    "g06_usage_totals",
+    """SELECT book_id, volume, model, count(*) AS attempts, coalesce(sum(prompt), 0.0) AS prompt_tokens, coalesce(sum(completion), 0.0) AS completion_tokens, CAST(sum(unknown) AS BIGINT) AS unknown_billing FROM (
+       SELECT ledger_id, min(book_id) AS book_id, min(volume) AS volume, min(model) AS model, max(usage.prompt_tokens) AS prompt, max(usage.completion_tokens) AS completion,
+         max(CASE WHEN billing_status = 'unknown' THEN 1 ELSE 0 END) AS unknown
+       FROM request_ledger WHERE event = 'finished' AND ledger_id IS NOT NULL GROUP BY 1) GROUP BY 1, 2, 3""",
+)
+def _(spark, folder):
+    return ledger.usage_totals(load(spark, folder, "request_ledger"))
+
+
+@query(
+    "s11_events_once",
+    """SELECT ledger_id, event, status, ts_utc FROM (SELECT *, row_number() OVER (PARTITION BY ledger_id, event ORDER BY ingested_at) AS k FROM request_ledger
+       WHERE ledger_id IS NOT NULL AND event IS NOT NULL) WHERE k = 1""",
+)
+def _(spark, folder):
+    return ledger.events_once(load(spark, folder, "request_ledger")).select("ledger_id", "event", "status", "ts_utc")
+
+
+@query(
+    "w11_error_streaks",
+    r"""WITH r AS (SELECT *, coalesce(regexp_replace(string_split(error, ' | body[:')[1], '[0-9]+', '#', 'g'), '') AS error_class FROM page_results),
+        c AS (SELECT *, CASE WHEN lag(error_class) OVER w = error_class THEN 0 ELSE 1 END AS changed FROM r WINDOW w AS (PARTITION BY book_id, volume, source_page ORDER BY attempt NULLS FIRST, result_id)),
+        g AS (SELECT *, sum(changed) OVER (PARTITION BY book_id, volume, source_page ORDER BY attempt NULLS FIRST, result_id ROWS UNBOUNDED PRECEDING) AS run FROM c)
+        SELECT book_id, volume, source_page, error_class, max(n) AS streak FROM (SELECT book_id, volume, source_page, error_class, run, count(*) AS n FROM g WHERE error_class <> '' GROUP BY ALL) GROUP BY ALL""",
+)
+def _(spark, folder):
+    return ledger.error_streaks(load(spark, folder, "page_results"))
+
+
+@query(
+    "x01_delivery_delay",
+    """SELECT strftime(sent, '%Y-%m-%d') AS day, count(*) AS events, CAST(sum(n - 1) AS BIGINT) AS copies, CAST(sum(CASE WHEN epoch_ms(arrived) - epoch_ms(sent) > 3600000 THEN 1 ELSE 0 END) AS BIGINT) AS late FROM (
+       SELECT ledger_id, event, min(CAST(replace(ts_utc, 'Z', '') AS TIMESTAMP)) AS sent, min(ingested_at) AS arrived, count(*) AS n FROM request_ledger WHERE ledger_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1""",
+)
+def _(spark, folder):
+    return ledger.delivery_delay(load(spark, folder, "request_ledger"))
+
+
+@query(
+    "x04_streamed_event_days",
+    "SELECT substr(ts_utc, 1, 10) AS day, event, CAST(count(DISTINCT ledger_id) AS BIGINT) AS n FROM request_ledger WHERE ledger_id IS NOT NULL AND ts_utc IS NOT NULL GROUP BY 1, 2",
+)
+def _(spark, folder):
+    return stream.counted_days(spark, folder)
+
+
+# -- text --------------------------------------------------------------------------------------------------------
+
+
+@query("t01_plain_text", "SELECT doc_id, lower(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '[^0-9A-Za-z㐀-鿿]+', '', 'g')) AS plain FROM documents")
+def _(spark, folder):
+    return load(spark, folder, "documents").select("doc_id", T.plain(F.col("text")).alias("plain"))
+
+
+@query("t02_sanitized_pages")
+def _(spark, folder):
+    return load(spark, folder, "page_results").select("result_id", T.sanitized(F.col("markdown")).alias("markdown"))
+
+
+@query(
+    "p05_pages_with_image_marker",
+    rf"""SELECT result_id, len(list_filter(string_split(regexp_replace(markdown, '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^[{S}]+|[{S}]+$', '', 'g') = '{T.MARKER}')) > 0 AS wants_image FROM page_results""",
+)
+def _(spark, folder):
+    return load(spark, folder, "page_results").select("result_id", T.wants_image(F.col("markdown")).alias("wants_image"))
+
+
+@query(
+    "t14_language_tags",
+    """SELECT tag, count(*) AS n FROM (SELECT CASE WHEN lower(parts[1]) = 'zh' THEN array_to_string(list_concat(['zh'], list_transform(parts[2:], lambda p:
+         CASE WHEN lower(p) IN ('hans', 'hant') THEN upper(lower(p)[1]) || lower(p)[2:] WHEN regexp_matches(lower(p), '^([a-z]{2}|[0-9]{3})$') THEN upper(p) ELSE lower(p) END)), '-') ELSE raw END AS tag
+       FROM (SELECT raw, string_split(replace(raw, '_', '-'), '-') AS parts FROM (SELECT coalesce(nullif(trim(lang), ''), 'vi') AS raw FROM documents))) GROUP BY 1""",
+)
+def _(spark, folder):
+    return load(spark, folder, "documents").select(T.language_tag(F.col("lang")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("t11_heading_candidates", f"WITH {TEXTS}, {CANDIDATES} SELECT * FROM candidates")
+def _(spark, folder):
+    return assembly.heading_candidates(_texts(spark, folder))
+
+
+@query(
+    "g04_navigation_entries",
+    f"""WITH {TEXTS}, {CANDIDATES} SELECT book_id, volume, source_page, title, CASE WHEN count(*) OVER (PARTITION BY book_id, volume, title) = 1 THEN 'verified-candidate' ELSE 'ambiguous-duplicate' END AS status
+        FROM candidates WHERE status = 'candidate'""",
+)
+def _(spark, folder):
+    return assembly.navigation_entries(assembly.heading_candidates(_texts(spark, folder)))
+
+
+_NOTES = r"""notes AS (SELECT book_id, volume, source_page, text, CAST(coalesce(list_max(list_transform(regexp_extract_all(text, '\[\^([0-9]{1,6})\]', 1), lambda x: CAST(x AS INT))), 0) AS BIGINT) AS highest FROM texts)"""
+
+
+@query(
+    "w01_footnote_offsets",
+    f"""WITH {TEXTS}, {_NOTES} SELECT book_id, volume, source_page, highest,
+        CAST(coalesce(sum(highest) OVER (PARTITION BY book_id, volume ORDER BY source_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS shift FROM notes""",
+)
+def _(spark, folder):
+    return assembly.footnote_offsets(_texts(spark, folder))
+
+
+@query("t04_renumbered_pages")
+def _(spark, folder):
+    return assembly.renumbered_pages(_texts(spark, folder))
+
+
+@query(
+    "g10_assembled_volumes",
+    f"""WITH {TEXTS}, bodies AS (SELECT book_id, volume, source_page, regexp_replace(text, '^[{S}]+|[{S}]+$', '', 'g') AS body FROM texts)
+        SELECT book_id, volume, count(*) AS pages, string_agg(body, chr(10) || chr(10) ORDER BY source_page) AS body FROM bodies WHERE body <> '' GROUP BY 1, 2""",
+)
+def _(spark, folder):
+    return assembly.assembled(_texts(spark, folder))
+
+
+@query("g08_text_fingerprints")
+def _(spark, folder):
+    return assembly.text_fingerprint(_texts(spark, folder))
+
+
+@query(
+    "g11_line_counts",
+    rf"""WITH {TEXTS}, split AS (SELECT *, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM texts)
+        SELECT book_id, volume, CAST(sum(len(list_filter(ls, lambda x: regexp_matches(x, '^# ')))) AS BIGINT) AS chapters, CAST(sum(len(list_filter(ls, lambda x: regexp_matches(x, '^## ')))) AS BIGINT) AS sections,
+          CAST(sum(len(list_filter(ls, lambda x: regexp_matches(x, '^\[\^[^\]]+\]:')))) AS BIGINT) AS footnotes, CAST(sum(length(text)) AS BIGINT) AS chars FROM split GROUP BY 1, 2""",
+)
+def _(spark, folder):
+    return assembly.line_counts(_texts(spark, folder))
+
+
+@query(
+    "j01_overridden_results",
+    """WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY markdown_sha256 NULLS FIRST, source_sha256 NULLS FIRST, markdown NULLS FIRST) AS k FROM correction_overrides) WHERE k = 1)
+       SELECT p.result_id, CASE WHEN sha256(p.markdown) = o.source_sha256 AND sha256(o.markdown) = o.markdown_sha256 THEN o.markdown ELSE p.markdown END AS text,
+         CASE WHEN o.result_id IS NULL THEN 'raw' WHEN sha256(p.markdown) = o.source_sha256 AND sha256(o.markdown) = o.markdown_sha256 THEN 'override' ELSE 'stale' END AS state
+       FROM page_results p LEFT JOIN o ON p.result_id = o.result_id""",
+)
+def _(spark, folder):
+    return assembly.with_overrides(load(spark, folder, "page_results"), load(spark, folder, "correction_overrides"))
+
+
+@query("j02_canonical_names_put_in")
+def _(spark, folder):
+    """Names of a volume's context that a page has exactly once in another spelling are replaced there, in order."""
+    names = load(spark, folder, "book_contexts").select("book_id", "volume", "context_id", F.posexplode("proper_names").alias("ordinal", "name"))
+    changed = names.where("name.canonical is not null and name.seen <> name.canonical and length(name.seen) > 0")
+    unique = changed.groupBy("book_id", "volume", F.col("name.seen").alias("old")).agg(F.min("ordinal").alias("ordinal"), F.min("name.canonical").alias("new"))
+    texts = _texts(spark, folder)
+    own = texts.select("book_id", "volume", "source_page", "text").join(unique, ["book_id", "volume"]).where(F.contains("text", "old"))
+    asked = own.select("book_id", "volume", "source_page", "ordinal", "old", "new", F.lit(1).alias("expected"))
+    return assembly.replaced_in_order(texts.select("book_id", "volume", "source_page", "text"), asked, ["book_id", "volume", "source_page"])
+
+
+# -- duplicates and audits ---------------------------------------------------------------------------------------
+
+_PLAIN = """plain AS (SELECT book_id, volume, source_page AS p, t, length(t) AS n FROM (SELECT *, lower(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '[^0-9A-Za-z㐀-鿿]+', '', 'g')) AS t FROM texts) WHERE length(t) >= 80)"""
+
+
+@query(
+    "j07_band_length_bound",
+    f"""WITH {TEXTS}, {_PLAIN} SELECT a.book_id, a.volume, a.p AS first, b.p AS duplicate, CAST(a.n AS BIGINT) AS first_chars, CAST(b.n AS BIGINT) AS duplicate_chars FROM plain a
+        JOIN plain b ON a.book_id = b.book_id AND a.volume = b.volume AND b.p - a.p BETWEEN 1 AND 64 WHERE CAST(2.0 AS DOUBLE) * least(a.n, b.n) / (a.n + b.n) >= CAST(0.985 AS DOUBLE)""",
+)
+def _(spark, folder):
+    return duplicates.band_pairs(_texts(spark, folder), ["book_id", "volume"], "source_page", "text").drop("first_text", "duplicate_text")
+
+
+@query("j07_near_duplicate_pages")
+def _(spark, folder):
+    return duplicates.near_pairs(_texts(spark, folder), ["book_id", "volume"], "source_page", "text")
+
+
+@query("w02_duplicate_islands")
+def _(spark, folder):
+    return duplicates.islands(duplicates.near_pairs(_texts(spark, folder), ["book_id", "volume"], "source_page", "text"), ["book_id", "volume"])
+
+
+@query("f01_secret_findings")
+def _(spark, folder):
+    return audit.secret_findings(load(spark, folder, "documents"), "doc_id", "text")
+
+
+@query(
+    "t26_markup_references",
+    r"""SELECT DISTINCT doc_id, ref, regexp_matches(ref, '^([A-Za-z][A-Za-z0-9+.\-]*:|/)') AS external FROM (SELECT doc_id, unnest(regexp_extract_all(text, '!?\[[^\]]*\]\(([^)\s]+)[^)]*\)', 1)) AS ref FROM documents)""",
+)
+def _(spark, folder):
+    return audit.markup_findings(load(spark, folder, "documents"), "doc_id", "text")
+
+
+@query("j16_known_names_in_documents")
+def _(spark, folder):
+    names = load(spark, folder, "book_contexts").select(F.explode("proper_names.seen").alias("name")).where("name is not null")
+    return audit.known_values(load(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", names, "name").withColumnRenamed("value", "name")
+
+
+_CONTEXT_RULES = {
+    "title": "coalesce(length(trim(title)) = 0, true)",
+    "title-length": "length(title) > 200",
+    "toc-title": "len(list_filter(table_of_contents, lambda x: coalesce(length(trim(x.title)) = 0, true))) > 0",
+    "toc-page": "len(list_filter(table_of_contents, lambda x: coalesce(x.page < 1, true))) > 0",
+    "name-seen": "len(list_filter(proper_names, lambda x: coalesce(length(trim(x.seen)) = 0, true))) > 0",
+    "layout-reason": "NOT supported_layout AND coalesce(length(trim(unsupported_reason)) = 0, true)",
+    "pages-per-image": "pages_per_image NOT IN (1, 2)",
+}
+
+
+@query("c05_context_violations", " UNION ALL ".join(f"SELECT context_id, '{name}' AS rule FROM book_contexts WHERE {rule}" for name, rule in _CONTEXT_RULES.items()))
+def _(spark, folder):
+    return audit.context_violations(load(spark, folder, "book_contexts"))
