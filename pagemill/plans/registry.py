@@ -113,7 +113,7 @@ def _(spark, folder):
     return pages.volume_violations(load(spark, folder, "books"), load(spark, folder, "manifest_pages"))
 
 
-@query("p02_expected_pages", f"WITH {EXPECTED} SELECT * FROM expected")
+@query("expected_pages_p02", f"WITH {EXPECTED} SELECT * FROM expected")
 def _(spark, folder):
     return pages.expected_pages(load(spark, folder, "books"))
 
@@ -243,7 +243,7 @@ def _(spark, folder):
 
 
 @query(
-    "p05_pages_with_image_marker",
+    "image_marker_pages_p05",
     rf"""SELECT result_id, len(list_filter(string_split(regexp_replace(markdown, '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^[{S}]+|[{S}]+$', '', 'g') = '{T.MARKER}')) > 0 AS wants_image FROM page_results""",
 )
 def _(spark, folder):
