@@ -127,11 +127,15 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
 def fold_merges(piece: Column, ranks: dict[bytes, int]) -> Column:
     """Ids of a piece: of all neighbours that form a token, the pair of lowest rank (the leftmost of several) becomes
     one, as often as there is one. An empty piece has no ids; null stays null."""
-    literal = rank_literal(ranks)
+    # the aggregate over one value only names the literal, so that the plan holds it once
+    return F.aggregate(F.array(rank_literal(ranks)), F.array().cast("array<int>"), lambda _, table: _folded(piece, table))
+
+
+def _folded(piece: Column, table: Column) -> Column:
     none = F.lit(1 << 30)
 
     def rank(token: Column) -> Column:
-        bucket = F.get(literal, (F.crc32(token) % BUCKETS).cast("int"))
+        bucket = F.get(table, (F.crc32(token) % BUCKETS).cast("int"))
         return F.coalesce(bucket[token], none)
 
     def merged(state: Column) -> Column:
