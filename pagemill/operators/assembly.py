@@ -126,3 +126,21 @@ def line_counts(pages: DataFrame) -> DataFrame:
         F.sum(count(r"^\[\^[^\]]+\]:")).cast("long").alias("footnotes"),
         F.sum(F.length("text")).cast("long").alias("chars"),
     )
+
+
+def applied_entries(pages: DataFrame, entries: DataFrame) -> DataFrame:
+    """pages with verified titles as chapters: (book_id, volume, source_page, text): the first heading with the entry's
+    title becomes a heading of the first level, with all marks escaped; other lines stay."""
+    one = entries.where("status = 'verified-candidate'").groupBy(*PAGE).agg(F.min("title").alias("title"))
+    joined = pages.select(*PAGE, "text").join(one, PAGE, "left")
+    ls = T.lines(F.col("text"))
+    at = F.array_position(F.transform(ls, lambda x: T.heading_title(x)), F.col("title"))
+    put = F.transform(ls, lambda x, i: F.when(i + 1 == at, F.concat(F.lit("# "), T.escaped(F.col("title")))).otherwise(x))
+    return joined.select(*PAGE, F.when(F.col("title").isNotNull() & (at > 0), F.array_join(put, "\n")).otherwise(F.col("text")).alias("text"))
+
+
+def digest_mismatches(pages: DataFrame, results: DataFrame) -> DataFrame:
+    """Inventory rows whose text digest is that of no result of the page: (book_id, volume, source_page, text_sha256).
+    Rows without a digest are none; the texts do not move, only their digests."""
+    found = results.where("markdown is not null").select(*PAGE, F.sha2("markdown", 256).alias("text_sha256")).distinct()
+    return pages.where("text_sha256 is not null").select(*PAGE, "text_sha256").distinct().join(found, [*PAGE, "text_sha256"], "left_anti")

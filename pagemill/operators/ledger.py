@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def page_number(name: Column) -> Column:
-    """The first run of digits; null where there is none."""
-    return F.expr("try_cast(nullif(regexp_extract(_name, '([0-9]+)', 1), '') as bigint)".replace("_name", name)) if isinstance(name, str) else F.nullif(F.regexp_extract(name, r"([0-9]+)", 1), F.lit("")).cast("bigint")
+def page_number(name: str) -> Column:
+    """The first run of digits in a column; null where there is none."""
+    return F.nullif(F.regexp_extract(name, "([0-9]+)", 1), F.lit("")).cast("bigint")
 
 
 def events_once(ledger: DataFrame) -> DataFrame:
@@ -93,3 +93,20 @@ def delivery_delay(ledger: DataFrame) -> DataFrame:
     once = ledger.where("ledger_id is not null").groupBy("ledger_id", "event").agg(F.min(at).alias("at"), F.min("ingested_at").alias("arrived"), F.count("*").alias("n"))
     late = F.coalesce((F.unix_millis("arrived") - F.unix_millis("at") > 3_600_000).cast("long"), F.lit(0))
     return once.groupBy(F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("events"), F.sum(F.col("n") - 1).alias("copies"), F.sum(late).alias("late"))
+
+
+def clean_events(ledger: DataFrame) -> DataFrame:
+    """The ledger with values of their allowed shapes only: (ledger_id, event, page_sha256, image_count, image_bytes,
+    prompt_tokens, http_status). A value of another shape becomes null; rows keep their number."""
+    shaped = lambda c, p: F.when(F.col(c).rlike(p), F.col(c)).alias(c)
+    images = F.filter("images", lambda x: x["sha256"].rlike("^[0-9a-f]{64}$") & (x["bytes"] >= 0))
+    number = lambda c: F.when((F.col(c) >= 0) & (F.col(c) < float("inf")), F.col(c))
+    return ledger.select(
+        shaped("ledger_id", "^[0-9a-f]{32}$"),
+        F.when(F.col("event").isin("started", "finished"), F.col("event")).alias("event"),
+        shaped("page_sha256", "^[0-9a-f]{64}$"),
+        F.when(F.col("images").isNotNull(), F.size(images)).cast("long").alias("image_count"),
+        F.aggregate(images, F.lit(0).cast("long"), lambda a, x: a + x["bytes"]).alias("image_bytes"),
+        number("usage.prompt_tokens").alias("prompt_tokens"),
+        F.when(F.col("http_status").between(100, 599), F.col("http_status")).alias("http_status"),
+    )

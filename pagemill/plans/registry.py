@@ -395,3 +395,55 @@ _CONTEXT_RULES = {
 @query("c05_context_violations", " UNION ALL ".join(f"SELECT context_id, '{name}' AS rule FROM book_contexts WHERE {rule}" for name, rule in _CONTEXT_RULES.items()))
 def _(spark, folder):
     return audit.context_violations(load(spark, folder, "book_contexts"))
+
+
+# -- further checks and rewritings -------------------------------------------------------------------------------
+
+
+@query(
+    "c08_digest_mismatches",
+    """SELECT DISTINCT m.book_id, m.volume, m.source_page, m.text_sha256 FROM manifest_pages m WHERE m.text_sha256 IS NOT NULL AND NOT EXISTS (
+       SELECT 1 FROM page_results p WHERE p.book_id = m.book_id AND p.volume = m.volume AND p.source_page = m.source_page AND sha256(p.markdown) = m.text_sha256)""",
+)
+def _(spark, folder):
+    return assembly.digest_mismatches(load(spark, folder, "manifest_pages"), load(spark, folder, "page_results"))
+
+
+@query("g02_page_form_counts", "SELECT book_id, volume, ocr_state, representation, count(*) AS n FROM manifest_pages GROUP BY ALL")
+def _(spark, folder):
+    return load(spark, folder, "manifest_pages").groupBy("book_id", "volume", "ocr_state", "representation").agg(F.count("*").alias("n"))
+
+
+@query("w06_code_lines")
+def _(spark, folder):
+    code = F.size(F.filter(T.code_lines(F.col("text")), lambda x: x)).cast("long")
+    return _texts(spark, folder).select("book_id", "volume", "source_page", code.alias("code_lines"))
+
+
+@query("t06_normalized_pages")
+def _(spark, folder):
+    return _texts(spark, folder).select("book_id", "volume", "source_page", T.normalized_lines(F.col("text")).alias("text"))
+
+
+@query("t05_orphan_footnotes")
+def _(spark, folder):
+    rows = load(spark, folder, "documents").select("doc_id", F.explode(T.orphan_notes(F.col("text"))).alias("note"))
+    return rows
+
+
+@query("t12_applied_entries")
+def _(spark, folder):
+    texts = _texts(spark, folder)
+    return assembly.applied_entries(texts, assembly.navigation_entries(assembly.heading_candidates(texts)))
+
+
+@query(
+    "clean_events_p14",
+    """SELECT CASE WHEN regexp_matches(ledger_id, '^[0-9a-f]{32}$') THEN ledger_id END AS ledger_id, CASE WHEN event IN ('started', 'finished') THEN event END AS event,
+         CASE WHEN regexp_matches(page_sha256, '^[0-9a-f]{64}$') THEN page_sha256 END AS page_sha256, CAST(len(kept) AS BIGINT) AS image_count,
+         CASE WHEN kept IS NOT NULL THEN CAST(coalesce(list_sum(list_transform(kept, lambda x: x.bytes)), 0) AS BIGINT) END AS image_bytes,
+         CASE WHEN usage.prompt_tokens >= 0 THEN usage.prompt_tokens END AS prompt_tokens, CASE WHEN http_status BETWEEN 100 AND 599 THEN http_status END AS http_status
+       FROM (SELECT *, list_filter(images, lambda x: regexp_matches(x.sha256, '^[0-9a-f]{64}$') AND x.bytes >= 0) AS kept FROM request_ledger)""",
+)
+def _(spark, folder):
+    return ledger.clean_events(load(spark, folder, "request_ledger"))

@@ -120,3 +120,22 @@ def test_attempts(spark):
     got = {r["ledger_id"]: (r["outcome"], r["elapsed_ms"]) for r in ledger.attempt_pairs(events).collect()}
     assert got == {"a": ("succeeded", 2000), "c": ("lost", None)}
     assert ledger.attempt_pairs(events.limit(0)).count() == 0
+
+
+def test_code_is_left_alone(spark):
+    text = "#Title\n---\n```\n#no\n---\n```\n    #indented\n- - -\n-- -x\n~~~~\n```\n#in\n~~~~~\n##Last"
+    want = "# Title\n* * *\n```\n#no\n---\n```\n    #indented\n* * *\n-- -x\n~~~~\n```\n#in\n~~~~~\n## Last"
+    assert one(spark, text, T.normalized_lines) == want
+    assert one(spark, None, T.normalized_lines) is None
+
+
+def test_orphan_notes(spark):
+    assert one(spark, "a[^1]\n[^1]: used\n[^2]: orphan\n[^x]: too", T.orphan_notes) == ["2", "x"]
+    assert one(spark, "", T.orphan_notes) == [] and one(spark, None, T.orphan_notes) is None
+
+
+def test_entries_become_chapters(spark):
+    rows = spark.createDataFrame([("b", 1, 1, "## 第一章 [x]\ntext"), ("b", 1, 2, "## 第一章 y\n## 第二章"), ("b", 1, 3, None)], "book_id string, volume int, source_page int, text string")
+    entries = assembly.navigation_entries(assembly.heading_candidates(rows))
+    got = {r["source_page"]: r["text"] for r in assembly.applied_entries(rows, entries).collect()}
+    assert got == {1: "# 第一章 \\[x\\]\ntext", 2: "## 第一章 y\n## 第二章", 3: None}
