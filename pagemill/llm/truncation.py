@@ -203,13 +203,14 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([e for _, e in out], pa.bool_())], ["doc_id", "early"])
 
 
-def early_ends(docs: DataFrame) -> DataFrame:
-    """docs: (doc_id, text). (doc_id, early) of texts with a near copy in which their end was found."""
+def early_ends(docs: DataFrame, classes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """docs: (doc_id, text). (doc_id, early) of texts with a near copy in which their end was found; equal texts have
+    the verdict of their class. classes: those of docs, if they are known (similar_classes)."""
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    _, pairs = similar_classes(texts, SIMILARITY, "words", WORDS)
+    members, pairs = classes or near_copies(docs)
     pairs = materialize(pairs.select("id_a", "id_b"), "copies")
     wanted = texts.join(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "id", "left_semi")
-    return (
+    verdicts = (
         pairs.join(wanted.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
         .join(wanted.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
         .select("id_a", "id_b", "text_a", "text_b")
@@ -217,15 +218,29 @@ def early_ends(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.bool_or("early").alias("early"))
     )
+    return of_all_members(materialize(verdicts, "early"), members)
+
+
+def near_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return similar_classes(docs.select(F.col("doc_id").alias("id"), "text"), SIMILARITY, "words", WORDS)
+
+
+def of_all_members(verdicts: DataFrame, members: DataFrame) -> DataFrame:
+    """verdicts: (doc_id, ...) of the first texts of classes; the same of each text of these classes."""
+    others = members.where("id <> class_id").distinct()
+    return verdicts.unionByName(verdicts.withColumnRenamed("doc_id", "class_id").join(others.withColumnRenamed("id", "doc_id"), "class_id").drop("class_id"))
 
 
 def truncated(docs: DataFrame) -> DataFrame:
     """docs: doc_id BIGINT, text. (doc_id) of texts that break off inside a word or sentence. A text whose end an
-    alignment with a near copy finds is judged by it, any other by its closing word. Null, empty and blank texts are
-    no cases; a row given twice counts once."""
+    alignment with a near copy finds is judged by it, any other by its closing word; equal texts are judged and counted
+    once. Null, empty and blank texts are no cases; a row given twice counts once."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text rlike '\\\\S'")
-    verdict = judged_ends(texts).join(early_ends(texts).where("early"), "doc_id", "full")
-    return verdict.where(F.coalesce("early", F.lit(False)) | F.coalesce("cut", F.lit(False))).select("doc_id").distinct()
+    members, pairs = near_copies(texts)
+    firsts = texts.join(members.where("id <> class_id").select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+    verdict = judged_ends(firsts).join(early_ends(firsts, (members.limit(0), pairs)).where("early"), "doc_id", "full")
+    found = verdict.where(F.coalesce("early", F.lit(False)) | F.coalesce("cut", F.lit(False))).select("doc_id").distinct()
+    return of_all_members(materialize(found, "cut"), members)
 
 
 def truncation_rates(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -144,3 +144,10 @@ def test_near_copy_that_ends_early(spark):
     body = " ".join(f"word{i} goes here." for i in range(60))
     docs = spark.createDataFrame([(1, "- " + body.replace(".", "") + " and then more words"), (2, "- " + body.replace(".", "") + " and then")], "doc_id long, text string")
     assert [r["doc_id"] for r in truncation.early_ends(docs).where("early").collect()] == [2]
+
+
+def test_equal_cut_texts_have_one_verdict(spark):
+    body = "- " + " ".join(f"word{i} goes here" for i in range(60))
+    docs = spark.createDataFrame([(1, body + " and then more words."), (2, body + " and then"), (3, body + " and then"), (4, body + " and then")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in truncation.early_ends(docs).where("early").collect()) == [2, 3, 4]
+    assert sorted(r["doc_id"] for r in truncation.truncated(docs).collect()) == [2, 3, 4]
