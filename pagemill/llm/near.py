@@ -261,18 +261,36 @@ def similar_groups(records: DataFrame, id_column: str, text_column: str, limit:
     )
 
 
-def components(pairs: DataFrame, turns: int = 40) -> DataFrame:
-    """pairs: (id_a, id_b). (id, root) with the least id of each connected component: every node takes the least label
-    around it and then its label's label, until none changes; both steps are joins, and each turn is written, so that
-    the plan stays short. The number of turns grows with the logarithm of the longest chain."""
-    edges = materialize(pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"))), "edges")
-    labels = materialize(edges.groupBy("id_a").agg(F.least(F.min("id_b"), F.col("id_a")).alias("root")).withColumnRenamed("id_a", "id"), "labels")
-    for _ in range(turns):
-        near = edges.join(labels.withColumnsRenamed({"id": "id_b", "root": "seen"}), "id_b").groupBy("id_a").agg(F.min("seen").alias("seen"))
-        hooked = labels.join(near.withColumnRenamed("id_a", "id"), "id").select("id", "root", F.least("root", "seen").alias("low"))
-        jumped = hooked.alias("h").join(labels.alias("l"), F.col("h.low") == F.col("l.id")).select("h.id", F.least("h.low", "l.root").alias("root"), (F.least("h.low", "l.root") < F.col("h.root")).alias("moved"))
-        jumped = materialize(jumped, "labels")
-        labels = jumped.drop("moved")
-        if jumped.where("moved").isEmpty():
+def components(pairs: DataFrame) -> DataFrame:
+    """pairs: (id_a, id_b). (id, root) with the least id of each connected component, by alternating large-star and
+    small-star steps: each node links its greater neighbours, then its lesser ones, to the least node around it, until
+    no link changes and each component is a star. Each step is a join and is written, so that the plan stays short.
+    Whatever the order of the ids, the number of turns grows with the square of the logarithm of their number at most."""
+    ends = pairs.where("id_a <> id_b").select(F.greatest("id_a", "id_b").alias("high"), F.least("id_a", "id_b").alias("low"))
+    links = materialize(ends.distinct(), "links")
+    state = _digest(links)
+    while True:
+        links = materialize(_small_star(materialize(_large_star(links), "links")), "links")
+        before, state = state, _digest(links)
+        if state == before:
             break
-    return labels
+    return links.select(F.col("high").alias("id"), F.col("low").alias("root")).unionByName(links.select(F.col("low").alias("id"), F.col("low").alias("root")).distinct())
+
+
+def _digest(links: DataFrame) -> tuple[int, int, int]:
+    """The number of links with two sums of hashes, which tell whether any link moved."""
+    return tuple(links.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("high", "low").bitwiseAND(F.lit(0xFFFFFFFF))), F.lit(0)), F.coalesce(F.sum(F.hash("low", "high").cast("long")), F.lit(0))).first())
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    """The greater neighbours of each node, linked to the least of the node and all its neighbours."""
+    both = links.select(F.col("high").alias("id"), F.col("low").alias("other")).unionByName(links.select(F.col("low").alias("id"), F.col("high").alias("other")))
+    least = both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("low"))
+    return links.select(F.col("low").alias("id"), "high").join(least, "id").select("high", "low").distinct()
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """Each node and its lesser neighbours, linked to the least of them."""
+    least = links.groupBy("high").agg(F.min("low").alias("least"))
+    moved = links.join(least, "high").where("low <> least").select(F.col("low").alias("high"), F.col("least").alias("low"))
+    return least.select("high", F.col("least").alias("low")).unionByName(moved).distinct()

@@ -64,6 +64,14 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_components_of_a_long_chain(spark):
+    """The least id stands at the far end of a chain of rising ids."""
+    ids = [*range(5, 301), 0]
+    chain = list(zip(ids, ids[1:]))
+    got = {r["id"]: r["root"] for r in near.components(spark.createDataFrame(chain, "id_a long, id_b long")).collect()}
+    assert got == dict.fromkeys(ids, 0)
+
+
 def brute_spans(rows, least):
     seen: dict[str, set[int]] = {}
     for i, t in rows:
