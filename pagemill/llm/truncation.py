@@ -25,6 +25,9 @@ from .near import similar_classes
 SIMILARITY, WORDS = 0.8, 5
 #: Characters at a text's end that are looked for in its near copy.
 TAIL = 24
+#: A fragment stands as a word of its own in at most FRAGMENT of the words that begin like it, and closes a line in at
+#: most CLOSING of them; fewer than EVIDENCE such words tell nothing.
+FRAGMENT, CLOSING, EVIDENCE = 0.01, 0.002, 8
 
 # Marks that end a sentence, marks that may follow them, and notes behind an ended text.
 STOPS = "。！？．｡.!?‼⁇⁈⁉؟।…"
@@ -128,12 +131,13 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text) to hashes of distinct words, in scripts without spaces of two characters, with their numbers and how
-    often no letter follows: (hash, n, whole)."""
+    """Rows (text) to hashes of words and of their beginnings, in scripts without spaces of two characters: how often
+    they occur, how often no letter follows, and how often longer words begin so: (hash, n, whole, longer). The last
+    one of each text is not counted, since a cut may have made it."""
     for batch in batches:
         column = batch.column("text").to_pylist()
         for lo, hi in chunks(column):
-            points, _, _ = code_points([t.casefold() for t in column[lo:hi]])
+            points, starts, _ = code_points([t.casefold() for t in column[lo:hi]])
             wide = points >= 0x2E80
             alnum = _alnum()[np.minimum(points, 0xFFFF)]
             narrow = alnum & ~wide
@@ -141,15 +145,31 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start[1:] &= ~narrow[:-1]
             end = narrow.copy()
             end[:-1] &= ~narrow[1:]
-            pair = np.flatnonzero(wide[1:] & wide[:-1] & alnum[1:] & alnum[:-1])
+            pair = _without_last(np.flatnonzero(wide[1:] & wide[:-1] & alnum[1:] & alnum[:-1]), starts)
             h = WindowHash(points)
-            words = np.flatnonzero(start)
-            hashes = np.concatenate([h.of(words, np.flatnonzero(end) + 1), h.of(pair, pair + 2)]).view(np.int64)
+            words, ends = _without_last(np.flatnonzero(start), starts), _without_last(np.flatnonzero(end) + 1, starts + 1)
+            word_hashes, first, times = np.unique(h.of(words, ends), return_index=True, return_counts=True)
+            # each beginning of each distinct word
+            size = (ends - words)[first] - 1
+            at = np.repeat(words[first], size)
+            length = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + 1
+            hashes = np.concatenate([word_hashes, h.of(pair, pair + 2), h.of(at, at + length)]).view(np.int64)
+            none = np.zeros(len(at), np.int64)
             # every text ends in a 0, so that a character behind a pair exists
-            closed = np.concatenate([np.ones(len(words), bool), ~alnum[pair + 2]])
-            found, back, n = np.unique(hashes, return_inverse=True, return_counts=True)
-            whole = np.bincount(back, weights=closed).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n), pa.array(whole)], ["hash", "n", "whole"])
+            counts = [
+                np.concatenate([times, np.ones(len(pair), np.int64), none]),
+                np.concatenate([times, ~alnum[pair + 2], none]),
+                np.concatenate([np.zeros(len(times) + len(pair), np.int64), np.repeat(times, size)]),
+            ]
+            found, back = np.unique(hashes, return_inverse=True)
+            sums = [np.bincount(back, weights=c, minlength=len(found)).astype(np.int64) for c in counts]
+            yield pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, sums)], ["hash", "n", "whole", "longer"])
+
+
+def _without_last(places: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """places without the last one of each text."""
+    text = np.searchsorted(starts, places, "right")
+    return places[:-1][text[1:] == text[:-1]]
 
 
 _ALNUM: list[np.ndarray] = []
@@ -176,13 +196,16 @@ def judged_ends(docs: DataFrame) -> DataFrame:
     open_ends = ends.where("not ended")
     closes = facts.where(f"doc_id is null and kind <> {PROSE}").groupBy("word").agg(F.sum("closes").alias("closes"))
     asked = open_ends.where(F.col("kind") != PROSE).select("word").distinct().withColumn("hash", _word_hash("word"))
-    counted = docs.select("text").mapInArrow(_words, "hash long, n long, whole long").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("whole").alias("whole"))
-    rated = open_ends.join(closes, "word", "left").join(counted.join(asked, "hash").drop("hash"), "word", "left").fillna(0, ["closes", "n", "whole"])
-    # prose without an end is cut; another line is, if a sign of the cut stands behind it, or if its last word closes
-    # no line elsewhere and is a part of longer words, or no word at all
-    part = (F.col("n") >= 8) & (F.col("whole") < F.col("n") * 0.01)
-    unknown = (F.col("kind") != HEADING) & (F.col("n") <= 1) & F.col("word").rlike("^[\\p{Ll}&&[\\u0000-\\u2E7F]]+$") & F.col("small")
-    cut = (F.col("kind") == PROSE) | F.col("marked") | (F.col("closes") == 0) & (part | unknown)
+    counted = docs.select("text").mapInArrow(_words, "hash long, n long, whole long, longer long").groupBy("hash").agg(*(F.sum(c).alias(c) for c in ("n", "whole", "longer")))
+    rated = open_ends.join(closes, "word", "left").join(counted.join(asked, "hash").drop("hash"), "word", "left").fillna(0, ["closes", "n", "whole", "longer"])
+    # prose without an end is cut; another line is, if a sign of the cut stands behind it, or if its last word hardly
+    # ever closes a line and is a part of longer words, or is no word at all; all by rates, which do not depend on the
+    # corpus's size. A single capital letter may be an initial
+    part = (F.col("n") >= EVIDENCE) & (F.col("whole") < F.col("n") * 0.01) & (F.col("closes") <= F.col("n") * CLOSING) & ~F.col("alphabetic")
+    fragment = F.col("alphabetic") & (F.col("longer") >= EVIDENCE) & (F.col("n") <= F.col("longer") * FRAGMENT) & (F.col("closes") <= F.col("longer") * CLOSING) & (F.col("small") | (F.length("word") > 1))
+    unknown = F.col("alphabetic") & (F.col("kind") != HEADING) & (F.col("n") == 0) & (F.col("closes") == 0) & F.col("small")
+    rated = rated.withColumn("alphabetic", F.col("word").rlike("^[\\p{L}\\p{M}&&[\\u0000-\\u2E7F]]+$"))
+    cut = (F.col("kind") == PROSE) | F.col("marked") | part | fragment | unknown
     return rated.select("doc_id", cut.alias("cut")).unionByName(ends.where("ended").select("doc_id", F.lit(False).alias("cut")))
 
 

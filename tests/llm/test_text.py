@@ -151,3 +151,12 @@ def test_equal_cut_texts_have_one_verdict(spark):
     docs = spark.createDataFrame([(1, body + " and then more words."), (2, body + " and then"), (3, body + " and then"), (4, body + " and then")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in truncation.early_ends(docs).where("early").collect()) == [2, 3, 4]
     assert sorted(r["doc_id"] for r in truncation.truncated(docs).collect()) == [2, 3, 4]
+
+
+def test_fragments_by_rates(spark):
+    """A fragment that other texts hold too, at the end of a verse line and of a heading."""
+    rows = [(i, f"They came home from the adventure number {i} near the river.\nIt was late.") for i in range(300)]
+    rows += [(1000, "They told the adventur of old.\nIt was late."), (1001, "Soft blows the wind\nand long is the adventur"), (1002, "It was late.\n\n# The Long Adventur"), (1003, "It was late.\n\n# The Long River"), (1004, "Soft blows the wind\nand long is the river")]
+    rows += [(1005, rows[-4][1])]
+    found = truncation.truncated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in found.collect()) == [1001, 1002, 1005]
