@@ -9,6 +9,7 @@ by another one, and therefore whole.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from .arrays import WindowHash, chunks, code_points
 from .near import similar_classes
 
 SIMILARITY, WORDS = 0.8, 5
-#: Characters at a text's end that are looked for in its near copy.
-TAIL = 24
+#: Characters of the windows that anchor an alignment.
+ANCHOR = 12
 #: A fragment stands as a word of its own in at most FRAGMENT of the words that begin like it, and closes a line in at
 #: most CLOSING of them; fewer than EVIDENCE such words tell nothing.
 FRAGMENT, CLOSING, EVIDENCE = 0.01, 0.002, 8
@@ -209,6 +210,78 @@ def judged_ends(docs: DataFrame) -> DataFrame:
     return rated.select("doc_id", cut.alias("cut")).unionByName(ends.where("ended").select("doc_id", F.lit(False).alias("cut")))
 
 
+def aligned_end(own: str, other: str) -> tuple[int, bool] | None:
+    """Where own ends in other, and whether the last characters are equal. Windows that occur once in each text are
+    anchors, of which the longest chain in the order of both counts; what own has behind the last one is aligned with
+    the least number of edits. None if the end has no counterpart."""
+    if other.startswith(own):
+        return len(own), True
+    points, starts, lengths = code_points([own, other])
+    if lengths.min() < ANCHOR:
+        return None
+    windows = WindowHash(points).windows(ANCHOR)
+    once = []
+    for at, n in zip(starts.tolist(), lengths.tolist(), strict=True):
+        found, first, times = np.unique(windows[at : at + n - ANCHOR + 1], return_index=True, return_counts=True)
+        once.append((found[times == 1], first[times == 1]))
+    _, i, j = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    if not len(i):
+        return None
+    mine, theirs = once[0][1][i], once[1][1][j]
+    order = np.argsort(mine)
+    last = _chain_end(theirs[order])
+    a, b = int(mine[order][last]) + ANCHOR, int(theirs[order][last]) + ANCHOR
+    while a < len(own) and b < len(other) and own[a] == other[b]:
+        a, b = a + 1, b + 1
+    rest = own[a:]
+    if not rest:
+        return b, True
+    if len(rest) > max(4 * ANCHOR, len(own) // 4):  # more than near copies differ in
+        return None
+    row = np.arange(min(len(other) - b, 2 * len(rest)) + 1)
+    against, steps = points[starts[1] + b : starts[1] + b + len(row) - 1], np.arange(len(row))
+    for c in map(ord, rest):
+        new = row + 1
+        new[1:] = np.minimum(new[1:], row[:-1] + (against != c))
+        row = np.minimum.accumulate(new - steps) + steps
+    least = int(row.min())
+    return (b + int(np.flatnonzero(row == least)[-1]), False) if least * 2 <= max(len(rest), 6) else None
+
+
+def _chain_end(places: np.ndarray) -> int:
+    """The index of the last one of a longest rising chain of places."""
+    if (places[1:] > places[:-1]).all():
+        return len(places) - 1
+    tops: list[int] = []
+    ends: list[int] = []
+    for k, place in enumerate(places.tolist()):
+        at = bisect_left(tops, place)
+        if at == len(tops):
+            tops.append(place)
+            ends.append(k)
+        else:
+            tops[at], ends[at] = place, k
+    return ends[-1]
+
+
+def stops_early(own: str, other: str) -> bool | None:
+    """Whether own stops where its near copy goes on within a sentence; None if the copy does not tell: the end is not
+    found in it, it ends at the same place, or a line of prose goes on in the next one."""
+    body, _ = without_remains(own)
+    found = aligned_end(body, other)
+    if not body or found is None:
+        return None
+    at, equal = found
+    rest = other[at:]
+    if not without_remains(rest)[0].strip():
+        return None
+    line = rest.split("\n", 1)[0]
+    if line.strip() and (equal or len(re.findall(r"[^\W_]", line)) > 1):
+        return not ended(body)
+    lines, short = _lines_of(body)
+    return None if line.strip() or re.match(r"[^\S\n]*\n\S", rest) and line_kind(lines[-1], short) == PROSE else False
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id_a, id_b, text_a, text_b) of near copies to (doc_id, early): whether the text stops where its copy goes
     on within a sentence."""
@@ -216,13 +289,8 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, bool]] = []
         for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("id_a", "id_b", "text_a", "text_b")), strict=True):
             for i, own, other in ((a, x, y), (b, y, x)):
-                body, _ = without_remains(own)
-                tail = body[-TAIL:]
-                at = other.rfind(tail) if len(tail) == TAIL else -1
-                if at >= 0:
-                    rest = other[at + TAIL :]
-                    goes_on = bool(rest.split("\n", 1)[0].strip()) and len(without_remains(rest)[0].strip()) > 0
-                    out.append((i, goes_on and not ended(body)))
+                if (early := stops_early(own, other)) is not None:
+                    out.append((i, early))
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([e for _, e in out], pa.bool_())], ["doc_id", "early"])
 
 
@@ -261,8 +329,8 @@ def truncated(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text rlike '\\\\S'")
     members, pairs = near_copies(texts)
     firsts = texts.join(members.where("id <> class_id").select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-    verdict = judged_ends(firsts).join(early_ends(firsts, (members.limit(0), pairs)).where("early"), "doc_id", "full")
-    found = verdict.where(F.coalesce("early", F.lit(False)) | F.coalesce("cut", F.lit(False))).select("doc_id").distinct()
+    verdict = judged_ends(firsts).join(early_ends(firsts, (members.limit(0), pairs)), "doc_id", "full")
+    found = verdict.where(F.coalesce("early", "cut")).select("doc_id").distinct()
     return of_all_members(materialize(found, "cut"), members)
 
 

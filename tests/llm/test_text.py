@@ -160,3 +160,14 @@ def test_fragments_by_rates(spark):
     rows += [(1005, rows[-4][1])]
     found = truncation.truncated(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in found.collect()) == [1001, 1002, 1005]
+
+
+def test_alignment_of_ends():
+    verse = "\n".join(f"- the {a} wind blows over the {b} hill" for a in ("cold", "warm", "old", "young", "slow") for b in ("green", "grey", "white"))
+    refrain = "\n- and nobody knows where it goes"
+    copy = verse + refrain + " again tonight\n- the sun is high above us" + refrain
+    assert truncation.stops_early(verse + refrain, copy) is True  # the refrain returns at the copy's end
+    assert truncation.stops_early(verse + "\n- and nobody knaws wher", copy) is True  # an edit near the end
+    assert truncation.stops_early(verse + "\n- and nobody knaws where it goes again tonight", copy) is False
+    assert truncation.stops_early(copy, verse + refrain) is None
+    assert truncation.stops_early(verse, verse) is None
