@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -50,6 +50,7 @@ _NUMBER = re.compile(
 _LETTERS = re.compile(r"[\W\d_]+")
 _ENDS = frozenset("。．.!?！？；;，,：:、」”\"'’)）")
 _MARKS = frozenset("-‐‑¬­⁃–=")
+SOFT = "\xad"
 _BLANKS = " \t\r​‌‍⁠﻿‎　"
 
 
@@ -344,11 +345,18 @@ def body_text(lines: list[str], states: np.ndarray) -> tuple[str, list[int]]:
         if parts and before == i - 1 and cut_word(last, body):
             parts[-1] = last.rstrip(_BLANKS)[:-1]
             del owner[len(owner) - (len(last) - len(parts[-1])) :]
-        elif parts and not (before == i - 1 and last and _WIDE.match(last[-1]) and body and _WIDE.match(body[0])):
+            add(body, i)
+            before = i
+            continue
+        if last.endswith(SOFT):  # no letters follow, so that it cuts no word
+            parts[-1] = last = last.rstrip(SOFT)
+            del owner[sum(map(len, parts)) :]
+        if parts and not (before == i - 1 and last and _WIDE.match(last[-1]) and body and _WIDE.match(body[0])):
             add(" ", before)
         add(body, i)
         before = i
-    return "".join(parts), owner
+    body = "".join(parts).rstrip(SOFT)
+    return body, owner[: len(body)]
 
 
 def wide_pairs(points: np.ndarray) -> np.ndarray:
@@ -454,10 +462,16 @@ def volume_titles(books: DataFrame, contexts: DataFrame, records: DataFrame) ->
     return every.where("title is not null").select("book_id", "volume", plain.alias("t")).where(F.length("t") >= 3).groupBy("book_id", "volume").agg(F.collect_set("t").alias("titles"))
 
 
+def _form_of_lines(text: Column) -> Column:
+    """The consistent form, in which soft hyphens behind a line's last letter stay; a noncharacter stands for them."""
+    kept = F.regexp_replace(text, r"(?<=[\p{L}\p{M}\p{Cf}])\u00AD(?=[ \t\r\p{Z}\p{Cf}&&[^\u00AD]]*\n)", "\ufdd0")
+    return F.translate(consistent_form(kept), "\ufdd0", SOFT)
+
+
 def prepared(records: DataFrame, books: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(result_id, site, text in the consistent form, titles) of all records with a text."""
+    """(result_id, site, text in the consistent form but for soft hyphens at lines' ends, titles) of all records with a text."""
     rows = records.where("markdown is not null and markdown <> '' and result_id is not null")
-    rows = rows.select(F.col("result_id").cast("long").alias("result_id"), "book_id", "volume", F.coalesce("scan_site", F.lit("")).alias("site"), consistent_form(F.col("markdown")).alias("text"))
+    rows = rows.select(F.col("result_id").cast("long").alias("result_id"), "book_id", "volume", F.coalesce("scan_site", F.lit("")).alias("site"), _form_of_lines(F.col("markdown")).alias("text"))
     return rows.join(volume_titles(books, contexts, records), ["book_id", "volume"], "left").select("result_id", "site", "text", F.coalesce("titles", F.array().cast("array<string>")).alias("titles"))
 
 

@@ -171,3 +171,10 @@ def test_alignment_of_ends():
     assert truncation.stops_early(verse + "\n- and nobody knaws where it goes again tonight", copy) is False
     assert truncation.stops_early(copy, verse + refrain) is None
     assert truncation.stops_early(verse, verse) is None
+
+
+def test_soft_hyphens_at_line_ends(spark):
+    text = "the traveller walked along the tra\u00ad\nveller river. the end\u00ad\n\nthe ri\u00adver was wide."
+    tables = noise_tables(spark, [(1, None, None, text)])
+    assert [(r["result_id"], r["line_no"], r["kind"]) for r in noise.line_noise(*tables).collect()] == [(1, 1, "hyphen")]
+    assert noise.repaired_pages(*tables).first()["markdown"] == "the traveller walked along the traveller river. the end\n\nthe river was wide."
