@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,8 +25,8 @@ from .consistent import consistent, consistent_form
 
 #: Most proofread pages that the model is fitted on.
 SAMPLE = 2500
-#: Most words and character pairs, the most frequent ones, whose numbers all tasks know; one that is rarer than all of
-#: them counts as not seen.
+#: Most words and character pairs, the most frequent ones, whose numbers all tasks know. If there are more that occur
+#: twice, the numbers of rarer ones are joined to the pages whose verdicts may depend on them.
 KNOWN = 1_500_000
 #: Lines at a page's edges that may be notices of its site.
 EDGE = 8
@@ -376,16 +376,43 @@ def _word_keys(words: list[str]) -> np.ndarray:
 
 @dataclass
 class Numbers:
-    """How often words and character pairs occur: sorted keys and their numbers."""
+    """How often words and character pairs occur: sorted keys and their numbers. A key that is not among them occurs
+    ceiling times at most, and as often as more says."""
 
     keys: np.ndarray
     counts: np.ndarray
+    ceiling: int = 0
+    more: Numbers | None = None
 
-    def of(self, keys: np.ndarray) -> np.ndarray:
+    def of(self, keys: np.ndarray, missing: int = 0) -> np.ndarray:
+        rest = self.more.of(keys, missing) if self.more else np.full(len(keys), missing, np.int64)
         if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
+            return rest
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0)
+        return np.where(self.keys[at] == keys, self.counts[at], rest)
+
+    def with_those_of(self, batch: pa.RecordBatch) -> Numbers:
+        """With the numbers that were joined to a batch's pages."""
+        if "keys" not in batch.schema.names:
+            return self
+        keys, first = np.unique(batch.column("keys").flatten().to_numpy(zero_copy_only=False), return_index=True)
+        return Numbers(self.keys, self.counts, self.ceiling, Numbers(keys, batch.column("counts").flatten().to_numpy(zero_copy_only=False)[first]))
+
+
+def asked_keys(bodies: list[str], model: Model, numbers: Numbers) -> np.ndarray:
+    """Keys that numbers lacks and on which a verdict on a word or character of the bodies may depend."""
+    asked: list[np.ndarray] = []
+    misread_characters(code_points(bodies)[0], model, numbers, asked)
+    words = sorted({m[0].casefold() for b in bodies for m in _WORD.finditer(b)})
+    own = _word_keys(words) if words else np.zeros(0, np.int64)
+    # a word that numbers has is at least as frequent as any that it lacks
+    rare = [(w, k) for w, k, n in zip(words, own.tolist(), numbers.of(own, -1).tolist(), strict=True) if n < 0 and (len(w) > 1 or not w.isalpha())]
+    cases = [(k, right) for w, k in rare for right in replaced(w, model.confused) if right]
+    if cases:
+        keys, options = np.array([k for k, _ in cases], np.int64), _word_keys([right for _, right in cases])
+        likely = numbers.of(options, numbers.ceiling) >= RATIO
+        asked += [keys[likely], options[likely & (numbers.of(options, -1) < 0)]]
+    return np.unique(np.concatenate(asked)) if asked else np.zeros(0, np.int64)
 
 
 def replaced(word: str, confused: dict[str, list[str]]) -> list[str]:
@@ -415,8 +442,9 @@ def misread_words(words: set[str], model: Model, numbers: Numbers, known: dict[s
             best[word], known[word] = m, right
 
 
-def misread_characters(points: np.ndarray, model: Model, numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
-    """Places of misread characters of scripts without spaces, and the right ones. points: texts, each between zeros."""
+def misread_characters(points: np.ndarray, model: Model, numbers: Numbers, asked: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of misread characters of scripts without spaces, and the right ones. points: texts, each between zeros.
+    With asked, keys that numbers lacks are taken for as frequent as they may be, and those that count go to asked."""
     options = [(ord(c), ord(r)) for c, rights in model.confused.items() if len(c) == 1 and c > "⺀" for r in rights]
     if len(points) < 3 or not options:
         return np.zeros(0, np.int64), np.zeros(0, np.uint32)
@@ -434,14 +462,19 @@ def misread_characters(points: np.ndarray, model: Model, numbers: Numbers) -> tu
     place = np.flatnonzero(tables[0][small] > 0)
     place = place[(place > 0) & (place < len(points) - 1)]
     before, here, after = points[place - 1], points[place], points[place + 1]
+    most = numbers.ceiling if asked is not None else 0
     left, right = numbers.of(_pair_key(before, here)), numbers.of(_pair_key(here, after))
     best, chosen = np.zeros(len(place)), np.zeros(len(place), np.uint32)
     for table in tables:
         new = table[small[place]]
-        left2, right2 = numbers.of(_pair_key(before, new)), numbers.of(_pair_key(new, after))
+        left2, right2 = numbers.of(_pair_key(before, new), most), numbers.of(_pair_key(new, after), most)
         gain = np.log((left2 + 0.5) / (left + 0.5)) + np.log((right2 + 0.5) / (right + 0.5))
         weak = np.minimum(left, right) * RATIO <= np.minimum(left2, right2)
-        good = (new > 0) & (gain >= np.log(RATIO * 4.0)) & (np.maximum(left2, right2) >= LEAST) & weak & (gain > best)
+        good = (new > 0) & (gain >= np.log(RATIO * 4.0)) & (np.maximum(left2, right2) >= LEAST) & weak
+        if asked is not None:
+            keys = np.concatenate([_pair_key(x[good], y[good]) for x, y in ((before, here), (here, after), (before, new), (new, after))])
+            asked.append(keys[numbers.of(keys, -1) < 0])
+        good &= gain > best
         best, chosen = np.where(good, gain, best), np.where(good, new, chosen)
     return place[chosen > 0], chosen[chosen > 0]
 
@@ -558,24 +591,44 @@ def word_numbers(pages: DataFrame, model: Model) -> DataFrame:
 
 def known_numbers(numbers: DataFrame, limit: int = KNOWN) -> Numbers:
     rows = numbers.where("n >= 2").orderBy(F.desc("n"), "key").limit(limit).toArrow().sort_by("key")
-    return Numbers(rows["key"].to_numpy(), rows["n"].to_numpy())
+    counts = rows["n"].to_numpy()
+    return Numbers(rows["key"].to_numpy(), counts, int(counts.min()) if len(counts) == limit else 0)
 
 
-def _noise_parts(pages: DataFrame, overrides: DataFrame):
+def _noise_parts(pages: DataFrame, overrides: DataFrame, bodies: Callable, limit: int):
+    """The pages, with rarer keys' numbers if there are any, and the broadcast model and numbers. bodies: of a page's
+    lines and states, the texts that are judged."""
     model = fitted(pages, overrides)
-    return pages.sparkSession.sparkContext.broadcast((model, known_numbers(word_numbers(pages, model))))
+    counted = materialize(word_numbers(pages, model).where("n >= 2"), "numbers")
+    numbers = known_numbers(counted, limit)
+    shared = pages.sparkSession.sparkContext.broadcast((model, numbers))
+    if not numbers.ceiling:
+        return pages, shared
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, numbers = shared.value
+        for batch in batches:
+            for group in _labelled(batch, model):
+                keys = [asked_keys(bodies(lines, states), model, numbers) for _, lines, states in group]
+                ids = np.repeat(np.array([g[0] for g in group], np.int64), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(keys))], ["result_id", "key"])
+
+    asked = pages.mapInArrow(run, "result_id long, key long")
+    found = asked.join(counted.where(F.col("n") <= numbers.ceiling), "key").groupBy("result_id").agg(F.collect_list(F.struct("key", "n")).alias("found"))
+    return pages.join(found, "result_id", "left").withColumn("keys", F.col("found.key")).withColumn("counts", F.col("found.n")).drop("found"), shared
 
-def line_noise(records: DataFrame, books: DataFrame, contexts: DataFrame, overrides: DataFrame) -> DataFrame:
+
+def line_noise(records: DataFrame, books: DataFrame, contexts: DataFrame, overrides: DataFrame, limit: int = KNOWN) -> DataFrame:
     """(result_id, line_no from 1, kind) of all noise: hyphen, misread, header, page_number. Records without a text have
     none; without proofread pages the model knows only the lines' shapes, and no misread characters."""
     pages = materialize(prepared(records, books, contexts), "pages")
-    shared = _noise_parts(pages, overrides)
+    pages, shared = _noise_parts(pages, overrides, lambda lines, states: [body_text(lines, states)[0]], limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, numbers = shared.value
+        model, most = shared.value
         known: dict[str, str | None] = {}
         for batch in batches:
+            numbers = most.with_those_of(batch)
             for group in _labelled(batch, model):
                 ids, lines, kinds = [], [], []
                 for i, noise in zip([g[0] for g in group], noise_of(group, model, numbers, known), strict=True):
@@ -621,16 +674,17 @@ def noise_of(group: list[tuple[int, list[str], np.ndarray]], model: Model, numbe
     return out
 
 
-def repaired_pages(records: DataFrame, books: DataFrame, contexts: DataFrame, overrides: DataFrame) -> DataFrame:
+def repaired_pages(records: DataFrame, books: DataFrame, contexts: DataFrame, overrides: DataFrame, limit: int = KNOWN) -> DataFrame:
     """(result_id, markdown): each record's text in continuous paragraphs, one line each: without headers, page numbers
     and notices, cut words whole, misread characters put right. Null and empty texts stay as they are."""
     pages = materialize(prepared(records, books, contexts), "pages")
-    shared = _noise_parts(pages, overrides)
+    pages, shared = _noise_parts(pages, overrides, page_bodies, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, numbers = shared.value
+        model, most = shared.value
         known: dict[str, str | None] = {}
         for batch in batches:
+            numbers = most.with_those_of(batch)
             for group in _labelled(batch, model):
                 texts = [page_paragraphs(lines, states, model, numbers, known) for _, lines, states in group]
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in group], pa.int64()), pa.array(texts, pa.string())], ["result_id", "markdown"])
@@ -644,13 +698,18 @@ _OWN_LINE = re.compile(r"\s*(?:#|[-*+>•]\s|\[\^|\d{1,3}[.)]\s|\||【)")
 
 
 def page_paragraphs(lines: list[str], states: np.ndarray, model: Model, numbers: Numbers, known: dict[str, str | None]) -> str:
+    return "\n".join(_corrected(body, model, numbers, known) for body in page_bodies(lines, states))
+
+
+def page_bodies(lines: list[str], states: np.ndarray) -> list[str]:
+    """The page's paragraphs, with empty ones between."""
     paragraphs: list[str] = []
     run: list[int] = []
 
     def flush() -> None:
         if run:
             body, _ = body_text([lines[i] for i in run], np.zeros(len(run), np.int64))
-            paragraphs.append(_corrected(body, model, numbers, known))
+            paragraphs.append(body)
             run.clear()
 
     for i, (line, state) in enumerate(zip(lines, states, strict=True)):
@@ -665,7 +724,7 @@ def page_paragraphs(lines: list[str], states: np.ndarray, model: Model, numbers:
     flush()
     while paragraphs and not paragraphs[-1]:
         paragraphs.pop()
-    return "\n".join(paragraphs)
+    return paragraphs
 
 
 def _corrected(body: str, model: Model, numbers: Numbers, known: dict[str, str | None]) -> str:
