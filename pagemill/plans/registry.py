@@ -378,7 +378,7 @@ def _(spark, folder):
 @query("j16_known_names_in_documents")
 def _(spark, folder):
     names = load(spark, folder, "book_contexts").select(F.explode("proper_names.seen").alias("name")).where("name is not null")
-    return audit.known_values(load(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", names, "name").withColumnRenamed("value", "name")
+    return audit.known_values(load(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", names, "name", least=1).withColumnRenamed("value", "name")
 
 
 _CONTEXT_RULES = {

@@ -139,3 +139,10 @@ def test_entries_become_chapters(spark):
     entries = assembly.navigation_entries(assembly.heading_candidates(rows))
     got = {r["source_page"]: r["text"] for r in assembly.applied_entries(rows, entries).collect()}
     assert got == {1: "# 第一章 \\[x\\]\ntext", 2: "## 第一章 y\n## 第二章", 3: None}
+
+
+def test_known_values_of_any_length(spark):
+    texts = spark.createDataFrame([(1, "芷穗认为云口很远"), (2, "Ann met Bartholomew"), (3, None), (4, "A")], "doc_id long, text string")
+    values = spark.createDataFrame([("芷穗",), ("Ann",), ("Bartholomew",), ("Bartholomeus",), ("",), (None,)], "name string")
+    got = audit.known_values(texts, "doc_id", "text", values, "name", least=1)
+    assert sorted(map(tuple, got.collect())) == [(1, "芷穗"), (2, "Ann"), (2, "Bartholomew")]
