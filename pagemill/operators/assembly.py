@@ -12,39 +12,49 @@ PAGE = [*VOLUME, "source_page"]
 
 
 def page_texts(results: DataFrame) -> DataFrame:
-    """The text of each page: (book_id, volume, source_page, result_id, text) of its last result, by attempt and id,
-    that has one. Only that result's text moves."""
+    """The text of each page: (book_id, volume, source_page, result_id, lang, text) of its last result, by attempt
+    and id, that has one. Only that result's text moves."""
     filled = results.where("markdown is not null and markdown <> '' and error is null")
     best = filled.groupBy(*PAGE).agg(F.max(F.struct("attempt", "result_id")).alias("last")).select(F.col("last.result_id").alias("result_id"))
-    return filled.join(best, "result_id", "left_semi").select(*PAGE, "result_id", F.col("markdown").alias("text"))
+    return filled.join(best, "result_id", "left_semi").select(*PAGE, "result_id", "lang", F.col("markdown").alias("text"))
 
 
-def footnote_numbers(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\[\^([0-9]{1,6})\]"), 1), lambda x: x.cast("int"))
+def with_footnote_shift(pages: DataFrame) -> DataFrame:
+    """pages with highest, the highest footnote number of the page (0 if it has none; code has none), and shift, the sum
+    of those of all earlier pages of the volume."""
+    w = Window.partitionBy(*VOLUME).orderBy("source_page").rowsBetween(Window.unboundedPreceding, -1)
+    marked = pages.withColumn("highest", F.coalesce(F.array_max(T.note_numbers(F.col("text"))), F.lit(0).cast("long")))
+    return marked.withColumn("shift", F.coalesce(F.sum("highest").over(w), F.lit(0).cast("long")))
 
 
 def footnote_offsets(pages: DataFrame) -> DataFrame:
-    """(book_id, volume, source_page, highest, shift): the highest footnote number of a page, and the sum of those of
-    all earlier pages of the volume."""
-    highest = pages.select(*PAGE, F.coalesce(F.array_max(footnote_numbers(F.col("text"))), F.lit(0)).cast("long").alias("highest"))
-    w = Window.partitionBy(*VOLUME).orderBy("source_page").rowsBetween(Window.unboundedPreceding, -1)
-    return highest.withColumn("shift", F.coalesce(F.sum("highest").over(w), F.lit(0)))
+    """(book_id, volume, source_page, highest, shift) of each page."""
+    return with_footnote_shift(pages).select(*PAGE, "highest", "shift")
 
 
-def renumbered(text: Column, shift: Column) -> Column:
-    """Footnote marks with shift added. The text is cut before each mark, and only the mark of a piece changes."""
-    parts = F.split(text, r"(?=\[\^[0-9]{1,6}\])")
+def renumbered_pages(pages: DataFrame) -> DataFrame:
+    """pages with the footnotes of a volume numbered through: (book_id, volume, source_page, text)."""
+    return with_footnote_shift(pages).select(*PAGE, T.renumbered(F.col("text"), F.col("shift")).alias("text"))
 
-    def moved(part: Column) -> Column:
-        number = F.regexp_extract(part, r"^\[\^([0-9]{1,6})\]", 1)
-        return F.when(number == "", part).otherwise(F.concat(F.lit("[^"), (number.cast("long") + shift).cast("string"), F.lit("]"), F.regexp_replace(part, r"^\[\^[0-9]{1,6}\]", "")))
 
-    return F.array_join(F.transform(parts, moved), "")
+def book_pages(pages: DataFrame) -> DataFrame:
+    """pages: (book_id, volume, source_page, text, lang). The texts as a book holds them: without the image's marker and
+    an outer fence, footnotes numbered through, those without a reference shown, chapters as headings of the first
+    level, breaks of dashes as stars. Null texts stay null."""
+    bare = pages.withColumn("text", T.stripped(T.without_outer_fence(T.without_marker(F.col("text")))))
+    shifted = with_footnote_shift(bare)
+    text = T.shown_orphans(T.renumbered(F.col("text"), F.col("shift")), F.col("lang"))
+    dashed = T.outside_code(T.chapter_headings(text), T.broken_dashes)
+    return shifted.select(*PAGE, T.stripped(dashed).alias("text"))
 
 
-def renumbered_pages(pages: DataFrame) -> DataFrame:
-    """pages with the footnotes of a volume numbered through: (book_id, volume, source_page, text)."""
-    return pages.join(footnote_offsets(pages), PAGE).select(*PAGE, renumbered(F.col("text"), F.col("shift")).alias("text"))
+def anchored(text: Column, page: Column) -> Column:
+    """A page's text with its anchor: in front, or behind a heading of the first level that starts the page."""
+    heading = F.regexp_extract(text, r"^(# [^\n]+)", 1)
+    rest = F.regexp_replace(text, r"^# [^\n]+\n*", "")
+    name = F.concat(F.lit('<span id="source-page-'), page.cast("string"))
+    behind = F.concat_ws("\n\n", heading, F.concat(name, F.lit('" class="source-page-heading-anchor"></span>')), F.nullif(T.stripped(rest), F.lit("")))
+    return F.when(heading != "", behind).otherwise(F.concat_ws("\n\n", F.concat(name, F.lit('"></span>')), F.nullif(text, F.lit(""))))
 
 
 def assembled(pages: DataFrame) -> DataFrame:
@@ -82,15 +92,31 @@ def navigation_entries(candidates: DataFrame) -> DataFrame:
 
 def with_overrides(results: DataFrame, overrides: DataFrame) -> DataFrame:
     """(result_id, text, state): the proofread text where the digests of the text that it replaces and of itself agree
-    (override), the result's own text otherwise (stale where an override was refused, raw where there is none). Of
-    several overrides of a result the one with the least digest counts."""
-    one = overrides.groupBy("result_id").agg(F.min(F.struct("markdown_sha256", "source_sha256", "markdown")).alias("o"))
+    (override), the result's own text otherwise: stale where an override was refused, duplicate where there are several,
+    which is refused too, raw where there is none."""
+    one = overrides.groupBy("result_id").agg(F.max(F.struct("markdown_sha256", "source_sha256", "markdown")).alias("o"), F.count("*").alias("n"))
     joined = results.select("result_id", "markdown").join(one, "result_id", "left")
-    fits = (F.sha2("markdown", 256) == F.col("o.source_sha256")) & (F.sha2("o.markdown", 256) == F.col("o.markdown_sha256"))
+    fits = (F.col("n") == 1) & (F.sha2("markdown", 256) == F.col("o.source_sha256")) & (F.sha2("o.markdown", 256) == F.col("o.markdown_sha256"))
     return joined.select(
         "result_id",
         F.when(fits, F.col("o.markdown")).otherwise(F.col("markdown")).alias("text"),
-        F.when(F.col("o").isNull(), "raw").when(fits, "override").otherwise("stale").alias("state"),
+        F.when(F.col("n").isNull(), "raw").when(F.col("n") > 1, "duplicate").when(fits, "override").otherwise("stale").alias("state"),
+    )
+
+
+def corrected(results: DataFrame, overrides: DataFrame, replacements: DataFrame) -> DataFrame:
+    """results: (result_id, markdown); overrides as in with_overrides; replacements: (result_id, ordinal, old, new,
+    expected). One row a result: (result_id, text, override, applied, refused, sanitized, before_sha256, after_sha256):
+    overrides first, then the replacements in order, then only what is shown. sanitized says whether that took something
+    away. A null text stays null."""
+    first = with_overrides(results, overrides).withColumnRenamed("state", "override")
+    replaced = replaced_in_order(first.select("result_id", "text"), replacements, ["result_id"])
+    shown = replaced.withColumn("shown", T.sanitized(F.col("text")))
+    before = results.select("result_id", F.sha2("markdown", 256).alias("before_sha256"))
+    return (
+        shown.join(first.select("result_id", "override"), "result_id")
+        .join(before, "result_id")
+        .select("result_id", F.col("shown").alias("text"), "override", "applied", "refused", (F.col("shown") != T.stripped(F.col("text"))).alias("sanitized"), "before_sha256", F.sha2("shown", 256).alias("after_sha256"))
     )
 
 
@@ -117,26 +143,81 @@ def replaced_in_order(pages: DataFrame, replacements: DataFrame, keys: list[str]
 
 
 def line_counts(pages: DataFrame) -> DataFrame:
-    """(book_id, volume, chapters, sections, footnotes, chars) of the page texts."""
-    ls = T.lines(F.col("text"))
-    count = lambda p: F.size(F.filter(ls, lambda x: x.rlike(p)))
+    """(book_id, volume, chapters, sections, footnotes, images, chars) of the page texts; images are the pages that ask
+    for theirs."""
+    count = lambda p: F.size(F.filter(T.lines(F.col("text")), lambda x: x.rlike(p)))
     return pages.groupBy(*VOLUME).agg(
         F.sum(count(r"^# ")).cast("long").alias("chapters"),
         F.sum(count(r"^## ")).cast("long").alias("sections"),
         F.sum(count(r"^\[\^[^\]]+\]:")).cast("long").alias("footnotes"),
+        F.sum(T.wants_image(F.col("text")).cast("long")).alias("images"),
         F.sum(F.length("text")).cast("long").alias("chars"),
     )
 
 
+# Fixed value: the note below a title that a lost page leaves without its start.
+RECOVERED = "*原始章节起始页缺失；此处为首个存续页面的恢复导航锚点。*"
+
+
+def with_entry(text: Column, title: Column, recovered: Column) -> Column:
+    """A page's text under an entry of the navigation: its first heading with the entry's title becomes one of the first
+    level; a page without it gets one in front, with a note if its start is lost. All marks of the title are escaped."""
+
+    def of(ls: Column) -> Column:
+        at = F.array_position(F.transform(ls, T.heading_title), title)
+        chapter = F.concat(F.lit("# "), T.escaped(title))
+        put = T.joined(F.transform(ls, lambda x, i: F.when(i + 1 == at, chapter).otherwise(x)))
+        note = F.when(recovered, F.lit("\n\n" + RECOVERED)).otherwise(F.lit(""))
+        return F.when(at > 0, put).otherwise(T.stripped(F.concat(chapter, note, F.lit("\n\n"), text)))
+
+    return F.when(title.isNull(), text).otherwise(T.let(T.lines(text), of))
+
+
 def applied_entries(pages: DataFrame, entries: DataFrame) -> DataFrame:
-    """pages with verified titles as chapters: (book_id, volume, source_page, text): the first heading with the entry's
-    title becomes a heading of the first level, with all marks escaped; other lines stay."""
-    one = entries.where("status = 'verified-candidate'").groupBy(*PAGE).agg(F.min("title").alias("title"))
+    """pages with their entries as chapters: (book_id, volume, source_page, text). entries: (book_id, volume,
+    source_page, title) with an optional source; titles that are none are left out, and of several entries of a page,
+    which navigation_violations tells, the least title counts."""
+    recovered = F.col("source") == "recovery-anchor" if "source" in entries.columns else F.lit(False)
+    valid = entries.select(*PAGE, T.valid_title(F.col("title")).alias("title"), F.coalesce(recovered, F.lit(False)).alias("recovered")).where("title is not null")
+    one = valid.groupBy(*PAGE).agg(F.min(F.struct("title", "recovered")).alias("entry"))
     joined = pages.select(*PAGE, "text").join(one, PAGE, "left")
-    ls = T.lines(F.col("text"))
-    at = F.array_position(F.transform(ls, lambda x: T.heading_title(x)), F.col("title"))
-    put = F.transform(ls, lambda x, i: F.when(i + 1 == at, F.concat(F.lit("# "), T.escaped(F.col("title")))).otherwise(x))
-    return joined.select(*PAGE, F.when(F.col("title").isNotNull() & (at > 0), F.array_join(put, "\n")).otherwise(F.col("text")).alias("text"))
+    return joined.select(*PAGE, with_entry(F.col("text"), F.col("entry.title"), F.col("entry.recovered")).alias("text"))
+
+
+# Where an entry may come from, and the state of one for a chapter whose start is lost.
+ENTRY_SOURCES = ["auto-heading", "manual", "recovery-anchor"]
+LOST_START = "source-start-missing"
+
+
+def navigation_violations(entries: DataFrame, pages: DataFrame) -> DataFrame:
+    """entries: (book_id, volume, source_page, title, source, status). (book_id, volume, source_page, title, rule) of
+    entries that break a rule: page (it is none of the volume's with a text), title, source, lost-start, page-twice,
+    title-twice. A row is given for each rule that it breaks; a null breaks its rule."""
+    present = pages.select(*PAGE).distinct().withColumn("present", F.lit(True))
+    marked = entries.join(present, PAGE, "left")
+    stripped = T.stripped(F.col("title"))
+    per_page, per_title = Window.partitionBy(*PAGE), Window.partitionBy(*VOLUME, stripped)
+    rules = {
+        "page": F.col("present").isNull(),
+        "title": T.valid_title(F.col("title")).isNull(),
+        "source": ~F.coalesce(F.col("source").isin(ENTRY_SOURCES), F.lit(False)),
+        "lost-start": (F.col("source") == "recovery-anchor") & ~F.coalesce(F.col("status") == LOST_START, F.lit(False)),
+        "page-twice": F.count("*").over(per_page) > 1,
+        "title-twice": F.count("title").over(per_title) > 1,
+    }
+    marked = marked.select(*PAGE, "title", *(F.coalesce(condition, F.lit(False)).alias(f"_{name}") for name, condition in rules.items()))
+    broken = F.array_compact(F.array(*(F.when(F.col(f"_{name}"), F.lit(name)) for name in rules)))
+    return marked.select(*PAGE, "title", F.explode(broken).alias("rule"))
+
+
+def navigation_states(stored: DataFrame, current: DataFrame, entries: DataFrame) -> DataFrame:
+    """stored, current: (book_id, volume, fingerprint); entries: (book_id, volume, source). What is done with a volume's
+    navigation (book_id, volume, action): keep it where the texts are the same, adopt it where no fingerprint is stored,
+    make a new one where the texts changed, refuse that if an entry was made by hand."""
+    by_hand = entries.groupBy(*VOLUME).agg(F.max(F.col("source").isin("manual", "recovery-anchor")).alias("by_hand"))
+    sides = current.select(*VOLUME, F.col("fingerprint").alias("now")).join(stored.select(*VOLUME, F.lit(True).alias("known"), F.col("fingerprint").alias("then")), VOLUME, "left").join(by_hand, VOLUME, "left")
+    action = F.when(F.col("known").isNull(), "generate").when(F.col("then").isNull(), "adopt").when(F.col("then") == F.col("now"), "keep").when(F.coalesce("by_hand", F.lit(False)), "refuse").otherwise("generate")
+    return sides.select(*VOLUME, action.alias("action"))
 
 
 def digest_mismatches(pages: DataFrame, results: DataFrame) -> DataFrame:

@@ -2,49 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import assembly, audit, duplicates, ledger, pages
 from ..streaming import ledger as stream
 from ..tables import load
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-#: White space, and the last results with a text, in SQL.
-S = r"\s\x0b\x1c-\x1f\x{85}\p{Z}"
-TEXTS = """texts AS (SELECT book_id, volume, source_page, result_id, markdown AS text FROM (
-  SELECT *, row_number() OVER (PARTITION BY book_id, volume, source_page ORDER BY attempt DESC NULLS LAST, result_id DESC) AS k
-  FROM page_results WHERE markdown IS NOT NULL AND markdown <> '' AND error IS NULL) WHERE k = 1)"""
-EXPECTED = """expected AS (SELECT * FROM (SELECT book_id, volume, CAST(unnest(range(1, source_pdf.page_count + 1)) AS INT) AS source_page FROM books) e
-  WHERE NOT EXISTS (SELECT 1 FROM (SELECT book_id, volume, unnest(source_pdf.excluded_pages).page AS page FROM books) x
-    WHERE x.book_id = e.book_id AND x.volume = e.volume AND x.page = e.source_page))"""
-CANDIDATES = rf"""lined AS (SELECT book_id, volume, source_page, text, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS raw,
-    generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) AS line FROM texts),
-  titled AS (SELECT *, coalesce(nullif(regexp_extract(raw, '^[{S}]*#{{1,6}}[{S}]+([^{S}].*?)[{S}]*$', 1), ''), nullif(regexp_extract(raw, '^[{S}]*#{{1,6}}([^{S}#].*?)[{S}]*$', 1), '')) AS title FROM lined),
-  found AS (SELECT *, count(*) OVER (PARTITION BY book_id, volume, source_page) AS n FROM titled
-    WHERE regexp_matches(regexp_replace(title, '^[#{S}]+|[#{S}]+$', '', 'g'), '^(第[{T.NUMERALS}]+[章节篇卷部].*|({T.NAMED})([{S}].*)?)$')),
-  candidates AS (SELECT book_id, volume, source_page, CAST(line AS BIGINT) AS line, title, CAST(length(regexp_replace(text, '[{S}]+', '', 'g')) AS BIGINT) AS body_chars,
-    CASE WHEN n >= 2 THEN 'toc-suspect' ELSE 'candidate' END AS status FROM found)"""
-
-
-def query(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
-
-
-def _texts(spark, folder):
-    return assembly.page_texts(load(spark, folder, "page_results"))
-
+from .catalog import EXPECTED, QUERIES, SQL, TEXTS, query
+from .catalog import texts as _texts
 
 # -- inventories -------------------------------------------------------------------------------------------------
 
@@ -229,115 +193,6 @@ def _(spark, folder):
     return stream.counted_days(spark, folder)
 
 
-# -- text --------------------------------------------------------------------------------------------------------
-
-
-@query("t01_plain_text", "SELECT doc_id, lower(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '[^0-9A-Za-z㐀-鿿]+', '', 'g')) AS plain FROM documents")
-def _(spark, folder):
-    return load(spark, folder, "documents").select("doc_id", T.plain(F.col("text")).alias("plain"))
-
-
-@query("t02_sanitized_pages")
-def _(spark, folder):
-    return load(spark, folder, "page_results").select("result_id", T.sanitized(F.col("markdown")).alias("markdown"))
-
-
-@query(
-    "image_marker_pages_p05",
-    rf"""SELECT result_id, len(list_filter(string_split(regexp_replace(markdown, '\r\n?', chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^[{S}]+|[{S}]+$', '', 'g') = '{T.MARKER}')) > 0 AS wants_image FROM page_results""",
-)
-def _(spark, folder):
-    return load(spark, folder, "page_results").select("result_id", T.wants_image(F.col("markdown")).alias("wants_image"))
-
-
-@query(
-    "t14_language_tags",
-    """SELECT tag, count(*) AS n FROM (SELECT CASE WHEN lower(parts[1]) = 'zh' THEN array_to_string(list_concat(['zh'], list_transform(parts[2:], lambda p:
-         CASE WHEN lower(p) IN ('hans', 'hant') THEN upper(lower(p)[1]) || lower(p)[2:] WHEN regexp_matches(lower(p), '^([a-z]{2}|[0-9]{3})$') THEN upper(p) ELSE lower(p) END)), '-') ELSE raw END AS tag
-       FROM (SELECT raw, string_split(replace(raw, '_', '-'), '-') AS parts FROM (SELECT coalesce(nullif(trim(lang), ''), 'vi') AS raw FROM documents))) GROUP BY 1""",
-)
-def _(spark, folder):
-    return load(spark, folder, "documents").select(T.language_tag(F.col("lang")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
-
-
-@query("t11_heading_candidates", f"WITH {TEXTS}, {CANDIDATES} SELECT * FROM candidates")
-def _(spark, folder):
-    return assembly.heading_candidates(_texts(spark, folder))
-
-
-@query(
-    "g04_navigation_entries",
-    f"""WITH {TEXTS}, {CANDIDATES} SELECT book_id, volume, source_page, title, CASE WHEN count(*) OVER (PARTITION BY book_id, volume, title) = 1 THEN 'verified-candidate' ELSE 'ambiguous-duplicate' END AS status
-        FROM candidates WHERE status = 'candidate'""",
-)
-def _(spark, folder):
-    return assembly.navigation_entries(assembly.heading_candidates(_texts(spark, folder)))
-
-
-_NOTES = r"""notes AS (SELECT book_id, volume, source_page, text, CAST(coalesce(list_max(list_transform(regexp_extract_all(text, '\[\^([0-9]{1,6})\]', 1), lambda x: CAST(x AS INT))), 0) AS BIGINT) AS highest FROM texts)"""
-
-
-@query(
-    "w01_footnote_offsets",
-    f"""WITH {TEXTS}, {_NOTES} SELECT book_id, volume, source_page, highest,
-        CAST(coalesce(sum(highest) OVER (PARTITION BY book_id, volume ORDER BY source_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS shift FROM notes""",
-)
-def _(spark, folder):
-    return assembly.footnote_offsets(_texts(spark, folder))
-
-
-@query("t04_renumbered_pages")
-def _(spark, folder):
-    return assembly.renumbered_pages(_texts(spark, folder))
-
-
-@query(
-    "g10_assembled_volumes",
-    f"""WITH {TEXTS}, bodies AS (SELECT book_id, volume, source_page, regexp_replace(text, '^[{S}]+|[{S}]+$', '', 'g') AS body FROM texts)
-        SELECT book_id, volume, count(*) AS pages, string_agg(body, chr(10) || chr(10) ORDER BY source_page) AS body FROM bodies WHERE body <> '' GROUP BY 1, 2""",
-)
-def _(spark, folder):
-    return assembly.assembled(_texts(spark, folder))
-
-
-@query("g08_text_fingerprints")
-def _(spark, folder):
-    return assembly.text_fingerprint(_texts(spark, folder))
-
-
-@query(
-    "g11_line_counts",
-    rf"""WITH {TEXTS}, split AS (SELECT *, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM texts)
-        SELECT book_id, volume, CAST(sum(len(list_filter(ls, lambda x: regexp_matches(x, '^# ')))) AS BIGINT) AS chapters, CAST(sum(len(list_filter(ls, lambda x: regexp_matches(x, '^## ')))) AS BIGINT) AS sections,
-          CAST(sum(len(list_filter(ls, lambda x: regexp_matches(x, '^\[\^[^\]]+\]:')))) AS BIGINT) AS footnotes, CAST(sum(length(text)) AS BIGINT) AS chars FROM split GROUP BY 1, 2""",
-)
-def _(spark, folder):
-    return assembly.line_counts(_texts(spark, folder))
-
-
-@query(
-    "j01_overridden_results",
-    """WITH o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY markdown_sha256 NULLS FIRST, source_sha256 NULLS FIRST, markdown NULLS FIRST) AS k FROM correction_overrides) WHERE k = 1)
-       SELECT p.result_id, CASE WHEN sha256(p.markdown) = o.source_sha256 AND sha256(o.markdown) = o.markdown_sha256 THEN o.markdown ELSE p.markdown END AS text,
-         CASE WHEN o.result_id IS NULL THEN 'raw' WHEN sha256(p.markdown) = o.source_sha256 AND sha256(o.markdown) = o.markdown_sha256 THEN 'override' ELSE 'stale' END AS state
-       FROM page_results p LEFT JOIN o ON p.result_id = o.result_id""",
-)
-def _(spark, folder):
-    return assembly.with_overrides(load(spark, folder, "page_results"), load(spark, folder, "correction_overrides"))
-
-
-@query("j02_canonical_names_put_in")
-def _(spark, folder):
-    """Names of a volume's context that a page has exactly once in another spelling are replaced there, in order."""
-    names = load(spark, folder, "book_contexts").select("book_id", "volume", "context_id", F.posexplode("proper_names").alias("ordinal", "name"))
-    changed = names.where("name.canonical is not null and name.seen <> name.canonical and length(name.seen) > 0")
-    unique = changed.groupBy("book_id", "volume", F.col("name.seen").alias("old")).agg(F.min("ordinal").alias("ordinal"), F.min("name.canonical").alias("new"))
-    texts = _texts(spark, folder)
-    own = texts.select("book_id", "volume", "source_page", "text").join(unique, ["book_id", "volume"]).where(F.contains("text", "old"))
-    asked = own.select("book_id", "volume", "source_page", "ordinal", "old", "new", F.lit(1).alias("expected"))
-    return assembly.replaced_in_order(texts.select("book_id", "volume", "source_page", "text"), asked, ["book_id", "volume", "source_page"])
-
-
 # -- duplicates and audits ---------------------------------------------------------------------------------------
 
 _PLAIN = """plain AS (SELECT book_id, volume, source_page AS p, t, length(t) AS n FROM (SELECT *, lower(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '[^0-9A-Za-z㐀-鿿]+', '', 'g')) AS t FROM texts) WHERE length(t) >= 80)"""
@@ -397,7 +252,7 @@ def _(spark, folder):
     return audit.context_violations(load(spark, folder, "book_contexts"))
 
 
-# -- further checks and rewritings -------------------------------------------------------------------------------
+# -- further checks -----------------------------------------------------------------------------------------------
 
 
 @query(
@@ -414,29 +269,6 @@ def _(spark, folder):
     return load(spark, folder, "manifest_pages").groupBy("book_id", "volume", "ocr_state", "representation").agg(F.count("*").alias("n"))
 
 
-@query("w06_code_lines")
-def _(spark, folder):
-    code = F.size(F.filter(T.code_lines(F.col("text")), lambda x: x)).cast("long")
-    return _texts(spark, folder).select("book_id", "volume", "source_page", code.alias("code_lines"))
-
-
-@query("t06_normalized_pages")
-def _(spark, folder):
-    return _texts(spark, folder).select("book_id", "volume", "source_page", T.normalized_lines(F.col("text")).alias("text"))
-
-
-@query("t05_orphan_footnotes")
-def _(spark, folder):
-    rows = load(spark, folder, "documents").select("doc_id", F.explode(T.orphan_notes(F.col("text"))).alias("note"))
-    return rows
-
-
-@query("t12_applied_entries")
-def _(spark, folder):
-    texts = _texts(spark, folder)
-    return assembly.applied_entries(texts, assembly.navigation_entries(assembly.heading_candidates(texts)))
-
-
 @query(
     "clean_events_p14",
     """SELECT CASE WHEN regexp_matches(ledger_id, '^[0-9a-f]{32}$') THEN ledger_id END AS ledger_id, CASE WHEN event IN ('started', 'finished') THEN event END AS event,
@@ -447,3 +279,6 @@ def _(spark, folder):
 )
 def _(spark, folder):
     return ledger.clean_events(load(spark, folder, "request_ledger"))
+
+
+from . import texts as _text_queries  # noqa: E402, F401
