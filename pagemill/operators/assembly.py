@@ -225,3 +225,28 @@ def digest_mismatches(pages: DataFrame, results: DataFrame) -> DataFrame:
     Rows without a digest are none; the texts do not move, only their digests."""
     found = results.where("markdown is not null").select(*PAGE, F.sha2("markdown", 256).alias("text_sha256")).distinct()
     return pages.where("text_sha256 is not null").select(*PAGE, "text_sha256").distinct().join(found, [*PAGE, "text_sha256"], "left_anti")
+
+
+def context_block(contexts: DataFrame) -> Column:
+    """What is known of a volume as lines of text: title, people, publisher, pages of an image, contents, names, terms,
+    notes; fields that are null or empty are left out. Of Chinese volumes only the layout is told, since their free
+    fields may hold anything."""
+    c = contexts
+    filled = lambda x: F.nullif(F.trim(x), F.lit(""))
+    row = lambda name, value: F.concat(F.lit(f"{name}: "), value)
+    several = lambda x: F.when(F.size(x) > 0, F.array_join(x, "; "))
+    people = F.concat_ws(", ", filled(c["author"]), filled(c["translator"]))
+    printed = F.concat_ws(", ", filled(c["publisher"]), filled(c["pub_year"]))
+    toc = F.transform(F.filter(c["table_of_contents"], lambda x: x["title"].isNotNull()), lambda x: F.concat_ws(" ", x["title"], x["page"].cast("string")))
+    names = F.transform(F.filter(c["proper_names"], lambda x: x["seen"].isNotNull() & x["canonical"].isNotNull()), lambda x: F.concat(x["seen"], F.lit("→"), x["canonical"]))
+    layout = F.array(row("content", F.when(c["content_type"].isin("verse", "mixed"), c["content_type"])), row("pages of an image", F.coalesce(c["pages_per_image"], F.lit(1)).cast("string")), row("order", F.when(c["pages_per_image"] >= 2, c["spread_order"])))
+    free = F.array(
+        row("title", filled(c["title"])), row("by", F.nullif(people, F.lit(""))), row("printed", F.nullif(printed, F.lit(""))), row("contents", several(toc)), row("names", several(F.slice(names, 1, NAMES_SHOWN))),
+        row("terms", several(F.filter(c["terminology"], lambda x: x != ""))), row("layout", filled(c["layout_notes"])), row("footnotes", filled(c["footnote_convention"])), row("beware", several(F.filter(c["ocr_pitfalls"], lambda x: x != ""))),
+    )
+    chinese = F.lower(T.language_tag(c["lang"])).rlike("^zh")
+    return T.joined(F.array_compact(F.when(chinese, layout).otherwise(F.concat(free, layout))))
+
+
+#: Names that a context's block shows.
+NAMES_SHOWN = 40

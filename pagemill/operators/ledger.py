@@ -12,10 +12,12 @@ def page_number(name: str) -> Column:
 
 
 def events_once(ledger: DataFrame) -> DataFrame:
-    """One row of each event of an attempt (ledger_id, event): the one that arrived first. Rows without an id or event
-    are left out. Only the key and the arrival time meet; the columns of the kept row come along as one struct."""
-    row = F.struct("ingested_at", *(F.col(c) for c in ledger.columns if c not in ("ledger_id", "event", "ingested_at", "usage", "images", "budget_snapshot")))
-    kept = ledger.where("ledger_id is not null and event is not null").groupBy("ledger_id", "event").agg(F.min(row).alias("row"))
+    """One row of each event of an attempt (ledger_id, event) with all its columns: the one that arrived first; of
+    several that arrived together, one that a hash of their plain columns chooses. Rows without an id or event are left
+    out."""
+    plain = [f.name for f in ledger.schema.fields if "map<" not in f.dataType.simpleString()]
+    row = F.struct(*(F.col(c) for c in ledger.columns if c not in ("ledger_id", "event")))
+    kept = ledger.where("ledger_id is not null and event is not null").groupBy("ledger_id", "event").agg(F.min_by(row, F.struct("ingested_at", F.xxhash64(*plain))).alias("row"))
     return kept.select("ledger_id", "event", "row.*")
 
 
@@ -95,18 +97,43 @@ def delivery_delay(ledger: DataFrame) -> DataFrame:
     return once.groupBy(F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("events"), F.sum(F.col("n") - 1).alias("copies"), F.sum(late).alias("late"))
 
 
+# The shapes of texts that a ledger may hold, the words that its states may be, and its numbers.
+SHAPES = {"ledger_id": r"^[0-9a-f]{32}$", "page": r"(?i)^page_[0-9]+\.(?:png|jpe?g|webp|heic|heif)$", "model": r"^[A-Za-z0-9][A-Za-z0-9._:/-]{0,127}$", "error_type": r"^[A-Za-z_][A-Za-z0-9_]{0,99}$"}
+ENUMS = {
+    "event": ["started", "finished"],
+    "stage": ["ocr", "context", "cover"],
+    "status": ["started", "succeeded", "failed", "timeout_unknown"],
+    "result_status": ["unknown", "known", "failed"],
+    "billing_status": ["unknown", "known"],
+    "finish_reason": ["stop", "length", "content_filter", "tool_calls", "function_call"],
+    "thinking_type_requested": ["enabled", "disabled", "omitted"],
+    "reasoning_effort_requested": ["low", "high", "max"],
+}
+DIGESTS = ["page_sha256", "prompt_sha256", "context_sha256", "response_id_sha256"]
+NUMBERS = ["max_tokens", "reasoning_length", "timeout_s", "stream_idle_timeout_s", "estimated_cost_usd", "elapsed_s"]
+PARTS = {
+    **{name: f"usage.{name}" for name in ("prompt_tokens", "completion_tokens", "total_tokens", "input_tokens", "output_tokens")},
+    **{f"budget_{name}": f"budget_snapshot.{name}" for name in ("requests", "image_attachments", "elapsed_s", "estimated_cost_usd")},
+}
+IMAGE_TYPES = ["image/png", "image/jpeg", "image/webp", "image/heic", "image/heif"]
+MOST_IMAGES = 1000
+
+
 def clean_events(ledger: DataFrame) -> DataFrame:
-    """The ledger with values of their allowed shapes only: (ledger_id, event, page_sha256, image_count, image_bytes,
-    prompt_tokens, http_status). A value of another shape becomes null; rows keep their number."""
-    shaped = lambda c, p: F.when(F.col(c).rlike(p), F.col(c)).alias(c)
-    images = F.filter("images", lambda x: x["sha256"].rlike("^[0-9a-f]{64}$") & (x["bytes"] >= 0))
-    number = lambda c: F.when((F.col(c) >= 0) & (F.col(c) < float("inf")), F.col(c))
+    """The ledger with its allowed fields in their allowed shapes only: identifiers, states, digests in small letters,
+    numbers that are finite and not negative, the counters of usage and budget, and of the first images that are whole
+    their number and bytes. A value of another shape becomes null; rows keep their number."""
+    number = lambda c: (F.col(c) >= 0) & ~F.isnan(F.col(c).cast("double")) & (F.col(c).cast("double") < float("inf"))
+    digest = "^[0-9a-f]{64}$"
+    images = F.filter(F.slice("images", 1, MOST_IMAGES), lambda x: F.lower(x["sha256"]).rlike(digest) & x["mime"].isin(IMAGE_TYPES) & (x["bytes"] >= 0))
     return ledger.select(
-        shaped("ledger_id", "^[0-9a-f]{32}$"),
-        F.when(F.col("event").isin("started", "finished"), F.col("event")).alias("event"),
-        shaped("page_sha256", "^[0-9a-f]{64}$"),
+        *(F.when(F.col(c).rlike(shape), F.col(c)).alias(c) for c, shape in SHAPES.items()),
+        *(F.when(F.col(c).isin(values), F.col(c)).alias(c) for c, values in ENUMS.items()),
+        *(F.when(F.lower(c).rlike(digest), F.lower(c)).alias(c) for c in DIGESTS),
+        *(F.when(number(c), F.col(c)).alias(c) for c in NUMBERS),
+        *(F.when(number(field), F.col(field)).alias(name) for name, field in PARTS.items()),
+        "stream",
+        F.when(F.col("http_status").between(100, 599), F.col("http_status")).alias("http_status"),
         F.when(F.col("images").isNotNull(), F.size(images)).cast("long").alias("image_count"),
         F.aggregate(images, F.lit(0).cast("long"), lambda a, x: a + x["bytes"]).alias("image_bytes"),
-        number("usage.prompt_tokens").alias("prompt_tokens"),
-        F.when(F.col("http_status").between(100, 599), F.col("http_status")).alias("http_status"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VOLUME = ["book_id", "volume"]
+# States and forms of pages.
 STATES = ["ok", "blank", "unsupported", "failed", "ambiguous", "pending"]
 FORMS = ["reflow", "hybrid", "image", "pending"]
 
@@ -45,7 +46,7 @@ def volume_violations(books: DataFrame, pages: DataFrame) -> DataFrame:
     head = books.select(*VOLUME, F.col("schema_version").alias("version"), "source_pdf.page_count", "source_pdf.included_pages", "source_pdf.excluded_pages")
     excluded = F.transform("excluded_pages", lambda x: x["page"])
     every = F.when(F.col("page_count") >= 1, F.sequence(F.lit(1), F.col("page_count"))).otherwise(F.array().cast("array<int>"))
-    listed = pages.groupBy(*VOLUME).agg(F.sort_array(F.collect_set("source_page")).alias("listed"))
+    listed = pages.groupBy(*VOLUME).agg(F.sort_array(F.collect_set("source_page")).alias("listed"), F.count("source_page").alias("rows"))
     rules = {
         "version": F.coalesce(F.col("version") != 1, F.lit(True)),
         "page-count": F.coalesce(F.col("page_count") < 1, F.lit(True)),
@@ -55,6 +56,7 @@ def volume_violations(books: DataFrame, pages: DataFrame) -> DataFrame:
         "excluded-twice": F.size(F.array_distinct(excluded)) != F.size(excluded),
         "conservation": F.col("included_pages") != F.array_except(every, excluded),
         "pages-listed": F.coalesce(F.col("included_pages") != F.col("listed"), F.lit(True)),
+        "page-twice": F.col("rows") > F.size("listed"),
     }
     broken = F.array_compact(F.array(*(F.when(condition, F.lit(name)) for name, condition in rules.items())))
     return head.join(listed, VOLUME, "left").select(*VOLUME, F.explode(broken).alias("rule"))
@@ -104,6 +106,11 @@ def front_middle_end(pages: DataFrame, keys: list[str], order: str, front: int =
     return placed.where(wanted).drop("_place", "_n")
 
 
+def first_rows(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows by order, for a report; ties must be broken by it. Each task keeps n rows, and so does the end."""
+    return rows.orderBy(*order).limit(n)
+
+
 def page_numbers(ranges: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Lists such as "1,5-8" as rows (keys, page), each page once. Parts that are no range of positive numbers in order
     have none."""

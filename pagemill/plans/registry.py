@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assembly, audit, duplicates, ledger, pages
+from ..operators import assembly, duplicates, ledger, pages
 from ..streaming import ledger as stream
 from ..tables import load
 from .catalog import EXPECTED, QUERIES, SQL, TEXTS, query
@@ -58,8 +58,8 @@ def _(spark, folder):
 
 _HEAD = """head AS (SELECT b.*, list_transform(excluded, lambda x: x.page) AS gone FROM (
     SELECT book_id, volume, schema_version AS version, source_pdf.page_count AS n, source_pdf.included_pages AS included, source_pdf.excluded_pages AS excluded FROM books) b),
-  listed AS (SELECT book_id, volume, list_sort(list(DISTINCT source_page)) AS listed FROM manifest_pages GROUP BY 1, 2),
-  both_sides AS (SELECT h.*, l.listed FROM head h LEFT JOIN listed l ON h.book_id = l.book_id AND h.volume = l.volume)"""
+  listed AS (SELECT book_id, volume, list_sort(list(DISTINCT source_page)) AS listed, count(source_page) AS listings FROM manifest_pages GROUP BY 1, 2),
+  both_sides AS (SELECT h.*, l.listed, l.listings FROM head h LEFT JOIN listed l ON h.book_id = l.book_id AND h.volume = l.volume)"""
 _VOLUME_RULES = {
     "version": "coalesce(version <> 1, true)",
     "page-count": "coalesce(n < 1, true)",
@@ -69,6 +69,7 @@ _VOLUME_RULES = {
     "excluded-twice": "len(list_distinct(gone)) <> len(gone)",
     "conservation": "included <> list_filter(range(1, n + 1), lambda p: NOT list_contains(gone, p))",
     "pages-listed": "coalesce(included <> listed, true)",
+    "page-twice": "listings > len(listed)",
 }
 
 
@@ -158,11 +159,13 @@ def _(spark, folder):
 
 @query(
     "s11_events_once",
-    """SELECT ledger_id, event, status, ts_utc FROM (SELECT *, row_number() OVER (PARTITION BY ledger_id, event ORDER BY ingested_at) AS k FROM request_ledger
-       WHERE ledger_id IS NOT NULL AND event IS NOT NULL) WHERE k = 1""",
+    """SELECT ledger_id, event, status, ts_utc, usage.total_tokens AS total_tokens, CAST(len(images) AS INT) AS images, budget_snapshot.requests AS requests FROM (
+       SELECT *, row_number() OVER (PARTITION BY ledger_id, event ORDER BY ingested_at) AS k FROM request_ledger WHERE ledger_id IS NOT NULL AND event IS NOT NULL) WHERE k = 1""",
 )
 def _(spark, folder):
-    return ledger.events_once(load(spark, folder, "request_ledger")).select("ledger_id", "event", "status", "ts_utc")
+    once = ledger.events_once(load(spark, folder, "request_ledger"))
+    counts = [F.col("usage.total_tokens").alias("total_tokens"), F.when(F.col("images").isNotNull(), F.size("images")).alias("images"), F.col("budget_snapshot.requests").alias("requests")]
+    return once.select("ledger_id", "event", "status", "ts_utc", *counts)
 
 
 @query(
@@ -204,52 +207,51 @@ _PLAIN = """plain AS (SELECT book_id, volume, source_page AS p, t, length(t) AS
         JOIN plain b ON a.book_id = b.book_id AND a.volume = b.volume AND b.p - a.p BETWEEN 1 AND 64 WHERE CAST(2.0 AS DOUBLE) * least(a.n, b.n) / (a.n + b.n) >= CAST(0.985 AS DOUBLE)""",
 )
 def _(spark, folder):
-    return duplicates.band_pairs(_texts(spark, folder), ["book_id", "volume"], "source_page", "text").drop("first_text", "duplicate_text")
+    return duplicates.band_pairs(_texts(spark, folder), ["book_id", "volume"], "source_page", "text")
 
 
-@query("j07_near_duplicate_pages")
-def _(spark, folder):
-    return duplicates.near_pairs(_texts(spark, folder), ["book_id", "volume"], "source_page", "text")
-
-
-@query("w02_duplicate_islands")
+@query(
+    "j07_band_multiset_bound",
+    f"""WITH {TEXTS}, {_PLAIN}, counts AS (SELECT book_id, volume, p, n, c, count(*) AS k FROM (SELECT *, unnest(list_transform(string_split(t, ''), lambda x: unicode(x) % 128)) AS c FROM plain) GROUP BY ALL),
+        pairs AS (SELECT a.book_id, a.volume, a.p AS first, b.p AS duplicate, a.n + b.n AS total, a.t = b.t AS equal FROM plain a
+          JOIN plain b ON a.book_id = b.book_id AND a.volume = b.volume AND b.p - a.p BETWEEN 1 AND 64 WHERE CAST(2.0 AS DOUBLE) * least(a.n, b.n) / (a.n + b.n) >= CAST(0.985 AS DOUBLE))
+        SELECT p.book_id, p.volume, p.first, p.duplicate, CAST(sum(least(a.k, b.k)) AS BIGINT) AS common, p.equal FROM pairs p
+          JOIN counts a ON a.book_id = p.book_id AND a.volume = p.volume AND a.p = p.first JOIN counts b ON b.book_id = p.book_id AND b.volume = p.volume AND b.p = p.duplicate AND b.c = a.c
+        GROUP BY p.book_id, p.volume, p.first, p.duplicate, p.equal, p.total HAVING CAST(2.0 AS DOUBLE) * sum(least(a.k, b.k)) / p.total >= CAST(0.985 AS DOUBLE)""",
+)
 def _(spark, folder):
-    return duplicates.islands(duplicates.near_pairs(_texts(spark, folder), ["book_id", "volume"], "source_page", "text"), ["book_id", "volume"])
+    return duplicates.bounded_pairs(_texts(spark, folder), ["book_id", "volume"], "source_page", "text")
 
 
-@query("f01_secret_findings")
+@query("j07_near_duplicate_pages")
 def _(spark, folder):
-    return audit.secret_findings(load(spark, folder, "documents"), "doc_id", "text")
+    return duplicates.near_pairs(_texts(spark, folder), ["book_id", "volume"], "source_page", "text")
 
 
+#: Runs of pages whose neighbours' lengths allow a similarity, in place of a similarity that SQL has not.
 @query(
-    "t26_markup_references",
-    r"""SELECT DISTINCT doc_id, ref, regexp_matches(ref, '^([A-Za-z][A-Za-z0-9+.\-]*:|/)') AS external FROM (SELECT doc_id, unnest(regexp_extract_all(text, '!?\[[^\]]*\]\(([^)\s]+)[^)]*\)', 1)) AS ref FROM documents)""",
+    "g09_island_summary",
+    f"""WITH {TEXTS}, {_PLAIN}, pairs AS (SELECT a.book_id, a.volume, a.p AS first, b.p AS duplicate, CAST(2.0 AS DOUBLE) * least(a.n, b.n) / (a.n + b.n) AS similarity FROM plain a
+          JOIN plain b ON a.book_id = b.book_id AND a.volume = b.volume AND b.p - a.p BETWEEN 1 AND 64 WHERE CAST(2.0 AS DOUBLE) * least(a.n, b.n) / (a.n + b.n) >= CAST(0.985 AS DOUBLE)),
+        marked AS (SELECT *, CASE WHEN first = lag(first) OVER w + 1 AND duplicate = lag(duplicate) OVER w + 1 THEN 0 ELSE 1 END AS fresh FROM pairs WINDOW w AS (PARTITION BY book_id, volume ORDER BY first, duplicate)),
+        numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY book_id, volume ORDER BY first, duplicate ROWS UNBOUNDED PRECEDING) AS island FROM marked)
+        SELECT book_id, volume, min(first) AS first_start, max(first) AS first_end, min(duplicate) AS duplicate_start, max(duplicate) AS duplicate_end, count(*) AS length,
+          round_even(min(similarity), 4) AS similarity_min, round_even(max(similarity), 4) AS similarity_max FROM numbered GROUP BY book_id, volume, island""",
 )
 def _(spark, folder):
-    return audit.markup_findings(load(spark, folder, "documents"), "doc_id", "text")
+    pairs = duplicates.band_pairs(_texts(spark, folder), ["book_id", "volume"], "source_page", "text")
+    a, b = F.col("first_chars"), F.col("duplicate_chars")
+    return duplicates.islands(pairs.withColumn("similarity", 2.0 * F.least(a, b) / (a + b)), ["book_id", "volume"])
 
 
-@query("j16_known_names_in_documents")
+@query("w02_duplicate_islands")
 def _(spark, folder):
-    names = load(spark, folder, "book_contexts").select(F.explode("proper_names.seen").alias("name")).where("name is not null")
-    return audit.known_values(load(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", names, "name", least=1).withColumnRenamed("value", "name")
-
-
-_CONTEXT_RULES = {
-    "title": "coalesce(length(trim(title)) = 0, true)",
-    "title-length": "length(title) > 200",
-    "toc-title": "len(list_filter(table_of_contents, lambda x: coalesce(length(trim(x.title)) = 0, true))) > 0",
-    "toc-page": "len(list_filter(table_of_contents, lambda x: coalesce(x.page < 1, true))) > 0",
-    "name-seen": "len(list_filter(proper_names, lambda x: coalesce(length(trim(x.seen)) = 0, true))) > 0",
-    "layout-reason": "NOT supported_layout AND coalesce(length(trim(unsupported_reason)) = 0, true)",
-    "pages-per-image": "pages_per_image NOT IN (1, 2)",
-}
+    return duplicates.islands(duplicates.near_pairs(_texts(spark, folder), ["book_id", "volume"], "source_page", "text"), ["book_id", "volume"])
 
 
-@query("c05_context_violations", " UNION ALL ".join(f"SELECT context_id, '{name}' AS rule FROM book_contexts WHERE {rule}" for name, rule in _CONTEXT_RULES.items()))
+@query("f02_duplicate_report")
 def _(spark, folder):
-    return audit.context_violations(load(spark, folder, "book_contexts"))
+    return duplicates.duplicate_report(load(spark, folder, "manifest_pages"), _texts(spark, folder), ["book_id", "volume"], "source_page", "archive_sha256", "text")
 
 
 # -- further checks -----------------------------------------------------------------------------------------------
@@ -269,16 +271,22 @@ def _(spark, folder):
     return load(spark, folder, "manifest_pages").groupBy("book_id", "volume", "ocr_state", "representation").agg(F.count("*").alias("n"))
 
 
+_SHAPES = {name: f"CASE WHEN regexp_matches({name}, '{shape}') THEN {name} END AS {name}" for name, shape in ledger.SHAPES.items()}
+_ENUMS = {name: f"CASE WHEN {name} IN ({', '.join(chr(39) + v + chr(39) for v in values)}) THEN {name} END AS {name}" for name, values in ledger.ENUMS.items()}
+_DIGESTS = {name: f"CASE WHEN regexp_matches(lower({name}), '^[0-9a-f]{{64}}$') THEN lower({name}) END AS {name}" for name in ledger.DIGESTS}
+_NUMBERS = {name: f"CASE WHEN {name} >= 0 AND NOT isinf(CAST({name} AS DOUBLE)) AND NOT isnan(CAST({name} AS DOUBLE)) THEN {name} END AS {name}" for name in ledger.NUMBERS}
+_PARTS = [f"CASE WHEN {field} >= 0 AND NOT isinf(CAST({field} AS DOUBLE)) AND NOT isnan(CAST({field} AS DOUBLE)) THEN {field} END AS {name}" for name, field in ledger.PARTS.items()]
+
+
 @query(
     "clean_events_p14",
-    """SELECT CASE WHEN regexp_matches(ledger_id, '^[0-9a-f]{32}$') THEN ledger_id END AS ledger_id, CASE WHEN event IN ('started', 'finished') THEN event END AS event,
-         CASE WHEN regexp_matches(page_sha256, '^[0-9a-f]{64}$') THEN page_sha256 END AS page_sha256, CAST(len(kept) AS BIGINT) AS image_count,
-         CASE WHEN kept IS NOT NULL THEN CAST(coalesce(list_sum(list_transform(kept, lambda x: x.bytes)), 0) AS BIGINT) END AS image_bytes,
-         CASE WHEN usage.prompt_tokens >= 0 THEN usage.prompt_tokens END AS prompt_tokens, CASE WHEN http_status BETWEEN 100 AND 599 THEN http_status END AS http_status
-       FROM (SELECT *, list_filter(images, lambda x: regexp_matches(x.sha256, '^[0-9a-f]{64}$') AND x.bytes >= 0) AS kept FROM request_ledger)""",
+    f"""SELECT {', '.join([*_SHAPES.values(), *_ENUMS.values(), *_DIGESTS.values(), *_NUMBERS.values(), *_PARTS])}, stream, CASE WHEN http_status BETWEEN 100 AND 599 THEN http_status END AS http_status, CAST(len(kept) AS BIGINT) AS image_count,
+         CASE WHEN kept IS NOT NULL THEN CAST(coalesce(list_sum(list_transform(kept, lambda x: x.bytes)), 0) AS BIGINT) END AS image_bytes
+       FROM (SELECT *, list_filter(images[1:1000], lambda x: regexp_matches(lower(x.sha256), '^[0-9a-f]{{64}}$') AND x.mime IN ('image/png', 'image/jpeg', 'image/webp', 'image/heic', 'image/heif') AND x.bytes >= 0) AS kept FROM request_ledger)""",
 )
 def _(spark, folder):
     return ledger.clean_events(load(spark, folder, "request_ledger"))
 
 
+from . import audits as _audit_queries  # noqa: E402, F401
 from . import texts as _text_queries  # noqa: E402, F401

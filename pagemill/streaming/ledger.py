@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import new_path
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 4) -> DataFrame:
@@ -18,28 +16,27 @@ def event_stream(spark: SparkSession, folder: str, files_per_trigger: int = 4) -
     return rows.withColumn("at", F.to_timestamp("ts_utc"))
 
 
-def first_deliveries(events: DataFrame, delay: str = "3650 days") -> DataFrame:
-    """Each event of an attempt once, however often it is delivered within delay of the latest event time. Late rows
-    beyond that are dropped by the watermark, so that the state stays bounded."""
+def first_deliveries(events: DataFrame, delay: str = "7 days") -> DataFrame:
+    """Each event of an attempt once, if its deliveries lie within delay of the latest event time; state older than that
+    goes. For consumers that need each event soon: what arrives later than delay is dropped (numRowsDroppedByWatermark
+    of the query's progress counts it), and only keyed_deliveries has it."""
     return events.where("ledger_id is not null and at is not null").withWatermark("at", delay).dropDuplicatesWithinWatermark(["ledger_id", "event"])
 
 
-def counted_days(spark: SparkSession, folder: str) -> DataFrame:
-    """Runs the stream over all files present and gives (day, event, n). Each micro-batch writes its partial counts
-    under its own number, so that one that is repeated after a failure replaces itself."""
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+def keyed_deliveries(events: DataFrame, path: str, checkpoint: str):
+    """The started query that writes the keys (day, ledger_id, event) of each micro-batch, once each, under the batch's
+    number, so that one that is repeated after a failure replaces itself. It keeps no state, however late rows come."""
 
     def keep(batch: DataFrame, number: int) -> None:
-        partial = batch.groupBy(F.date_format("at", "yyyy-MM-dd").alias("day"), "event").agg(F.count("*").alias("n"))
-        partial.write.mode("overwrite").parquet(f"{base}/counts/batch={number}")
-
-    query = (
-        first_deliveries(event_stream(spark, folder))
-        .writeStream.foreachBatch(keep)
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    counts = spark.read.schema("day string, event string, n long, batch int").parquet(f"{base}/counts")
-    return counts.groupBy("day", "event").agg(F.sum("n").alias("n"))
+        keys = batch.where("ledger_id is not null and at is not null").select(F.date_format("at", "yyyy-MM-dd").alias("day"), "ledger_id", "event").distinct()
+        keys.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return events.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def counted_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs the stream over all files present and gives (day, event, n): distinct events of distinct attempts."""
+    base = new_path(spark, "stream")
+    keyed_deliveries(event_stream(spark, folder), f"{base}/keys", f"{base}/checkpoint").awaitTermination()
+    keys = spark.read.schema("day string, ledger_id string, event string, batch int").parquet(f"{base}/keys")
+    return keys.select("day", "ledger_id", "event").distinct().groupBy("day", "event").agg(F.count("*").alias("n"))
