@@ -89,6 +89,15 @@ def _(spark, folder):
     return truncation.truncation_rates(docs, truncation.truncated(docs))
 
 
+@query("p8_stages")
+def _(spark, folder):
+    """By source: how many texts each stage judged, and how many of them it found cut."""
+    docs = load(spark, folder, "documents")
+    sources = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source").distinct()
+    judged = truncation.verdicts(docs).join(sources, "doc_id")
+    return judged.groupBy("source", "stage").agg(F.count("*").alias("texts"), F.sum(F.col("cut").cast("long")).alias("cut"))
+
+
 def _noise_inputs(spark, folder):
     return (load(spark, folder, name) for name in ("page_results", "books", "book_contexts", "correction_overrides"))
 

@@ -1,15 +1,17 @@
 """Texts that were cut off.
 
 Near copies are found through MinHash bands on word shingles and aligned from their ends: of a pair in which one text
-goes on where the other stops, the latter ended early. All other texts are judged by their closing word: how often it
-closes a line of the same kind (prose, heading, list item, short line) among all lines of the corpus that are followed
-by another one, and therefore whole.
+goes on where the other stops, the latter ended early. All other texts are judged by the terminality of their closing
+word: of all places where a word with the same marks behind it stands in lines of the same kind (prose, heading, list
+item, short line), the share at which it closes the line. It is learned from all lines of the corpus that another one
+follows, and that are whole therefore.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,9 @@ ANCHOR = 12
 #: A fragment stands as a word of its own in at most FRAGMENT of the words that begin like it, and closes a line in at
 #: most CLOSING of them; fewer than EVIDENCE such words tell nothing.
 FRAGMENT, CLOSING, EVIDENCE = 0.01, 0.002, 8
+#: A closing word of less terminality breaks off. Before any line is seen, marks that end a sentence and words without
+#: marks in lines that are no prose have LIKELY, others UNLIKELY, which counts as PRIOR places.
+TERMINAL, LIKELY, UNLIKELY, PRIOR = 0.01, 0.25, 0.005, 20
 
 # Marks that end a sentence, marks that may follow them, and notes behind an ended text.
 STOPS = "。！？．｡.!?‼⁇⁈⁉؟।…"
@@ -86,14 +91,39 @@ def closing_word(line: str) -> str:
 
 def ended(text: str) -> bool:
     """Whether the text ends in a mark that ends a sentence, or in a note that only follows an ended text."""
+    body, noted = without_notes(text)
+    return noted or stops(body)
+
+
+def stops(text: str) -> bool:
+    """Whether a mark that ends a sentence stands at the end, before marks that close something."""
     body = text.rstrip()
-    while (note := _NOTE.search(body)) or (body and body[-1] in CLOSERS):
-        body = body[: note.start()].rstrip() if note else body[:-1].rstrip()
-        if note and body and body[-1] not in ",，、;；:：":
-            return True
+    while body and body[-1] in CLOSERS:
+        body = body[:-1].rstrip()
     return bool(body) and body[-1] in STOPS
 
 
+def without_notes(text: str) -> tuple[str, bool]:
+    """The text without notes at its end, and whether they follow an ended text."""
+    body, noted = text.rstrip(), False
+    while note := _NOTE.search(body.rstrip(CLOSERS) if not _NOTE.search(body) else body):
+        body = body[: note.start()].rstrip()
+        noted |= bool(body) and body[-1] not in ",，、;；:："
+    return body, noted
+
+
+_MARK_RUN = re.compile(r"[^\w\s]{1,3}(?=\s*\w)")
+_TAIL = re.compile(r"[^\w\s]{0,3}$")
+
+
+def marks_of(line: str) -> tuple[str, bool]:
+    """The last marks of a line, and whether its last letter is of a script without spaces."""
+    body = line.rstrip()
+    found = _LAST.search(body)
+    letter = re.match(r"[^\W_]+", found[0])[0][-1] if found else body[-1:]
+    return _TAIL.search(body)[0], letter > "⺀"
+
+
 def without_remains(text: str) -> tuple[str, bool]:
     """The text without what a cut left behind it, and whether that was more than white space."""
     body, marked = text, False
@@ -109,14 +139,20 @@ def _lines_of(text: str) -> tuple[list[str], bool]:
     return lines, short * 2 > max(1, sum(not x.startswith(("#", "-")) for x in lines))
 
 
+_ENDS_SCHEMA = "doc_id long, kind int, word string, tail string, wide boolean, noted boolean, stops boolean, marked boolean, small boolean, closes long, occurs long"
+
+
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text) to (doc_id, kind, word, ended, marked, small) of their ends, and to (kind, word, closes)
-    of all lines that another line follows; doc_id is null in the latter."""
-    names = ["doc_id", "kind", "word", "ended", "marked", "small", "closes"]
-    kinds = [pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64()]
+    """Rows (doc_id, text) to those of their ends (doc_id, kind, word, tail, wide, noted, stops, marked, small), and,
+    without a doc_id, of all lines that another line follows: (kind, word, closes), and for the marks of their words
+    (kind, tail, wide, closes, occurs)."""
+    names = [part.split()[0] for part in _ENDS_SCHEMA.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
     for batch in batches:
         rows: list[tuple] = []
-        counts: dict[tuple[int, str], int] = {}
+        words: dict[tuple[int, str], int] = {}
+        closes: Counter = Counter()
+        occurs: Counter = Counter()
         for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             body, marked = without_remains(text)
             lines, short = _lines_of(body)
@@ -124,11 +160,25 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             whole = lines if body.endswith("\n") and not marked else lines[:-1]
             for line in whole:
-                key = (line_kind(line, short), closing_word(line))
-                counts[key] = counts.get(key, 0) + 1
-            rows.append((i, line_kind(lines[-1], short), closing_word(lines[-1]), ended(body), marked, bool(re.search(r"[^\W\d_]+\W*$", lines[-1]) and lines[-1].split()[-1][:1].islower()), 0))
-        rows += [(None, kind, word, None, None, None, n) for (kind, word), n in counts.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], names)
+                kind = line_kind(line, short)
+                if kind != PROSE:
+                    key = (kind, closing_word(line))
+                    words[key] = words.get(key, 0) + 1
+                tail, wide = marks_of(line)
+                closes[kind, tail, wide] += 1
+                occurs[kind, "", wide] += len(line) if wide else line.count(" ") + 1
+                for run in _MARK_RUN.findall(line):
+                    occurs[kind, run, wide] += 1
+            last, noted = without_notes(lines[-1])
+            tail, wide = marks_of(last)
+            small = bool(re.search(r"[^\W\d_]+\W*$", lines[-1]) and lines[-1].split()[-1][:1].islower())
+            rows.append((i, line_kind(lines[-1], short), closing_word(lines[-1]), tail, wide, noted, stops(last), marked, small, 0, 0))
+        rows += [(None, kind, word, None, None, None, None, None, None, n, None) for (kind, word), n in words.items()]
+        for kind, tail, wide in occurs | closes:
+            n = closes[kind, tail, wide]
+            # the mark at a line's end is one of its places
+            rows.append((None, kind, None, tail, wide, None, None, None, None, n, occurs[kind, tail, wide] + n))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(names), kinds, strict=True)], names)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,23 +241,30 @@ def _word_hash(words: pd.Series) -> pd.Series:
 
 
 def judged_ends(docs: DataFrame) -> DataFrame:
-    """docs: (doc_id, text). (doc_id, cut): whether the text breaks off, by its closing word."""
-    facts = materialize(docs.select("doc_id", "text").mapInArrow(_facts, "doc_id long, kind int, word string, ended boolean, marked boolean, small boolean, closes long"), "ends")
-    ends = facts.where("doc_id is not null").drop("closes")
-    open_ends = ends.where("not ended")
-    closes = facts.where(f"doc_id is null and kind <> {PROSE}").groupBy("word").agg(F.sum("closes").alias("closes"))
-    asked = open_ends.where(F.col("kind") != PROSE).select("word").distinct().withColumn("hash", _word_hash("word"))
+    """docs: (doc_id, text). (doc_id, cut, terminality): whether the text breaks off, by its closing word."""
+    facts = materialize(docs.select("doc_id", "text").mapInArrow(_facts, _ENDS_SCHEMA), "ends")
+    ends = facts.where("doc_id is not null").drop("closes", "occurs")
+    of_marks = ["kind", "wide", "tail"]
+    marks = facts.where("doc_id is null and word is null").groupBy(*of_marks).agg(F.sum("closes").alias("mark_closes"), F.sum("occurs").alias("mark_occurs"))
+    prior = F.when(F.col("stops") | ((F.col("kind") != PROSE) & (F.col("tail") == "")), LIKELY).otherwise(UNLIKELY)
+    terminality = (F.coalesce("mark_closes", F.lit(0)) + PRIOR * prior) / (F.coalesce("mark_occurs", F.lit(0)) + PRIOR)
+    scored = ends.join(marks, of_marks, "left").withColumn("terminality", terminality)
+    # a note stands behind an ended text only, and a mark that ends a sentence behind a whole word
+    closed = F.col("noted") | (F.col("stops") & (F.col("terminality") >= TERMINAL))
+    open_ends = scored.where(~closed)
+    closes = facts.where("doc_id is null and word is not null").groupBy("word").agg(F.sum("closes").alias("closes"))
+    asked = open_ends.where(F.col("terminality") >= TERMINAL).select("word").distinct().withColumn("hash", _word_hash("word"))
     counted = docs.select("text").mapInArrow(_words, "hash long, n long, whole long, longer long").groupBy("hash").agg(*(F.sum(c).alias(c) for c in ("n", "whole", "longer")))
     rated = open_ends.join(closes, "word", "left").join(counted.join(asked, "hash").drop("hash"), "word", "left").fillna(0, ["closes", "n", "whole", "longer"])
-    # prose without an end is cut; another line is, if a sign of the cut stands behind it, or if its last word hardly
-    # ever closes a line and is a part of longer words, or is no word at all; all by rates, which do not depend on the
-    # corpus's size. A single capital letter may be an initial
+    # a closing word of little terminality breaks off; another one does, if a sign of the cut stands behind it, or if it
+    # hardly ever closes a line and is a part of longer words, or is no word at all; all by rates, which do not depend on
+    # the corpus's size. A single capital letter may be an initial
     part = (F.col("n") >= EVIDENCE) & (F.col("whole") < F.col("n") * 0.01) & (F.col("closes") <= F.col("n") * CLOSING) & ~F.col("alphabetic")
     fragment = F.col("alphabetic") & (F.col("longer") >= EVIDENCE) & (F.col("n") <= F.col("longer") * FRAGMENT) & (F.col("closes") <= F.col("longer") * CLOSING) & (F.col("small") | (F.length("word") > 1))
     unknown = F.col("alphabetic") & (F.col("kind") != HEADING) & (F.col("n") == 0) & (F.col("closes") == 0) & F.col("small")
     rated = rated.withColumn("alphabetic", F.col("word").rlike("^[\\p{L}\\p{M}&&[\\u0000-\\u2E7F]]+$"))
-    cut = (F.col("kind") == PROSE) | F.col("marked") | part | fragment | unknown
-    return rated.select("doc_id", cut.alias("cut")).unionByName(ends.where("ended").select("doc_id", F.lit(False).alias("cut")))
+    cut = (F.col("terminality") < TERMINAL) | F.col("marked") | part | fragment | unknown
+    return rated.select("doc_id", cut.alias("cut"), "terminality").unionByName(scored.where(closed).select("doc_id", F.lit(False).alias("cut"), "terminality"))
 
 
 def aligned_end(own: str, other: str) -> tuple[int, bool] | None:
@@ -322,16 +379,23 @@ def of_all_members(verdicts: DataFrame, members: DataFrame) -> DataFrame:
     return verdicts.unionByName(verdicts.withColumnRenamed("doc_id", "class_id").join(others.withColumnRenamed("id", "doc_id"), "class_id").drop("class_id"))
 
 
-def truncated(docs: DataFrame) -> DataFrame:
-    """docs: doc_id BIGINT, text. (doc_id) of texts that break off inside a word or sentence. A text whose end an
-    alignment with a near copy finds is judged by it, any other by its closing word; equal texts are judged and counted
-    once. Null, empty and blank texts are no cases; a row given twice counts once."""
+def verdicts(docs: DataFrame) -> DataFrame:
+    """docs: doc_id BIGINT, text. (doc_id, cut, stage, terminality) of every text that is not blank: whether it breaks
+    off inside a word or sentence, decided by the stage alignment where an alignment with a near copy finds its end,
+    either way, and by the stage closing-word else; equal texts are judged and counted once. Null, empty and blank texts
+    have none; a row given twice has one."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text rlike '\\\\S'")
     members, pairs = near_copies(texts)
     firsts = texts.join(members.where("id <> class_id").select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-    verdict = judged_ends(firsts).join(early_ends(firsts, (members.limit(0), pairs)), "doc_id", "full")
-    found = verdict.where(F.coalesce("early", "cut")).select("doc_id").distinct()
-    return of_all_members(materialize(found, "cut"), members)
+    found = judged_ends(firsts).join(early_ends(firsts, (members.limit(0), pairs)), "doc_id", "full")
+    stage = F.when(F.col("early").isNotNull(), "alignment").otherwise("closing-word")
+    judged = found.select("doc_id", F.coalesce("early", "cut").alias("cut"), stage.alias("stage"), "terminality").dropDuplicates(["doc_id"])
+    return of_all_members(materialize(judged, "cut"), members)
+
+
+def truncated(docs: DataFrame) -> DataFrame:
+    """(doc_id) of texts that break off, by verdicts."""
+    return verdicts(docs).where("cut").select("doc_id")
 
 
 def truncation_rates(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -153,6 +153,18 @@ def test_equal_cut_texts_have_one_verdict(spark):
     assert sorted(r["doc_id"] for r in truncation.truncated(docs).collect()) == [2, 3, 4]
 
 
+def test_both_stages_decide(spark):
+    """A cut list item and a whole one by their near copies, prose by the marks that close its lines."""
+    item = "- " + " ".join(f"word{i} goes here" for i in range(60))
+    prose = [(100 + i, f"The river {i} was wide, and slow. It was late, they said!\nIt was early; the wind was cold.") for i in range(40)]
+    cut = [(1, item + " and then it goes here"), (2, item + " and then it"), (3, "It was late. The traveller, they said,"), (4, "It was late. The traveller slept"), (5, "It was late. They slept!")]
+    docs = spark.createDataFrame(prose + cut, "doc_id long, text string").withColumn("stage", F.lit("clash"))
+    got = {r["doc_id"]: (r["cut"], r["stage"]) for r in truncation.verdicts(docs).where("doc_id < 100").collect()}
+    assert got == {1: (False, "closing-word"), 2: (True, "alignment"), 3: (True, "closing-word"), 4: (True, "closing-word"), 5: (False, "closing-word")}
+    scores = {r["doc_id"]: r["terminality"] for r in truncation.verdicts(docs).collect()}
+    assert scores[3] < truncation.TERMINAL and scores[4] < truncation.TERMINAL < scores[100]
+
+
 def test_fragments_by_rates(spark):
     """A fragment that other texts hold too, at the end of a verse line and of a heading."""
     rows = [(i, f"They came home from the adventure number {i} near the river.\nIt was late.") for i in range(300)]
