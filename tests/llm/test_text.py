@@ -37,6 +37,25 @@ def test_mapping_has_no_conflicts():
     for source, target in consistent.TABLE.items():
         assert not any(c in consistent.TABLE for c in target)
         assert unicodedata.normalize("NFC", target) == target, source
+    for source, target in consistent.COMPOSED.items():
+        assert unicodedata.normalize("NFC", source) == target and target not in consistent.COMPOSED
+
+
+def test_clusters_are_composed_in_any_order():
+    for form in ("ậ", "ữ", "ế", "ǭ", "각", "ガ"):
+        parts = unicodedata.normalize("NFD", form)
+        assert consistent.consistent(parts) == form
+        assert consistent.consistent("x" + "\u200b".join(parts) + "y") == f"x{form}y"
+    assert consistent.consistent("a\u0302\u0323") == "ậ" and consistent.consistent("â\u0323") == "ậ"
+    assert consistent.consistent("q\u0302\u0323") == consistent.consistent("q\u0323\u0302")
+    assert consistent.consistent("K Å") == "K Å"
+
+
+def test_texts_of_a_batch_do_not_touch():
+    texts = ["", "a", "\u0301b", "​", "ﬁ", "\0", "a" * 5, "Lіn", "", "ｶ", "ﾞ"]
+    assert consistent.consistent_texts(texts) == [consistent.consistent(t) for t in texts]
+    twice = consistent.consistent_texts(consistent.consistent_texts(texts))
+    assert twice == consistent.consistent_texts(texts)
 
 
 def test_changed_lines(spark):
@@ -49,12 +68,6 @@ def test_changed_lines(spark):
     assert form == {2: None, 5: "x y"}
 
 
-def test_suspect_covers_all_changes(spark):
-    texts = [t for t, _ in LOOKS] + SAME + [f"x{c}y" for c in consistent.TABLE]
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", consistent.suspect(F.col("t")).alias("s")).collect()
-    assert not [r["t"] for r in got if consistent.consistent(r["t"]) != r["t"] and not r["s"]]
-
-
 def test_changed_names(spark):
     rows = [(7, [("A", "A"), ("Ｂ", None), (None, "C​"), (None, None)]), (8, None), (9, [])]
     contexts = spark.createDataFrame(rows, "context_id long, proper_names array<struct<seen:string,canonical:string>>")
