@@ -78,6 +78,13 @@ def _(spark, folder):
     return tokens.encode_corpus(load(spark, folder, "documents"))
 
 
+@query("p6_decoded", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def _(spark, folder):
+    """All texts from their ids; a null text comes back empty."""
+    ids = tokens.encode_corpus(load(spark, folder, "documents"))
+    return ids.select("doc_id", tokens.decode_ids(F.col("ids")).alias("text"))
+
+
 @query("p8_found")
 def _(spark, folder):
     return truncation.truncated(load(spark, folder, "documents"))
@@ -120,6 +127,24 @@ def _(spark, folder):
     return mixture.mixture(load(spark, folder, "documents"), load(spark, folder, "mix_targets"))
 
 
+@query(
+    "p7_invariants",
+    "SELECT source, true AS within_repeats, true AS once_a_repeat, true AS whole_share FROM mix_targets WHERE source IN (SELECT source FROM documents WHERE text <> '') ORDER BY source",
+)
+def _(spark, folder):
+    """What holds for each source of the mixture, whatever the documents: none is used more often than its limit, each
+    document comes once in each repeat, and the shares sum to 1."""
+    docs, targets = load(spark, folder, "documents"), load(spark, folder, "mix_targets")
+    rows = mixture.mixture(docs, targets)
+    per = rows.groupBy("source").agg(F.max("repeat").alias("most"), F.count("*").alias("n"), F.count_distinct("doc_id", "repeat").alias("once"), F.sum("n_tokens").alias("used"))
+    total = per.agg(F.sum("used").alias("total"), F.sum("used").cast("double").alias("again"))
+    return (
+        per.join(targets.select("source", "max_repeats"), "source")
+        .join(F.broadcast(total))
+        .select("source", (F.col("most") <= F.col("max_repeats")).alias("within_repeats"), (F.col("n") == F.col("once")).alias("once_a_repeat"), (F.abs(F.col("total") - F.col("again")) < 1).alias("whole_share"))
+    )
+
+
 @query("p7_shares")
 def _(spark, folder):
     return mixture.share_report(load(spark, folder, "documents"), load(spark, folder, "mix_targets"))

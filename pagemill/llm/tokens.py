@@ -4,7 +4,8 @@ The text is split by the vocabulary's pattern, and once more behind every charac
 reaches across. The second cut changes no id, since a merge never crosses it, and leaves few distinct pieces, also in
 scripts that write without spaces. Only distinct pieces are encoded: Spark's higher-order functions fold the ranked
 merges over the bytes of a piece, the ranks being a literal of the plan. The ids of the pieces then go to the
-documents: pieces up to head_limit (the most frequent) by broadcast, the rest by a join.
+documents: those of the most frequent pieces, up to head_limit, by broadcast; where a text has others, a mark stands for
+each, and only these pieces are joined and put in. They are rare, so that no key of the join is hot.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from ..session import materialize
 from .arrays import WindowHash, chunks, code_points
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Most pieces that are sent to the executors at once; all others are joined.
+#: Most pieces that are sent to the executors at once (about 60 MB); only others, if there are any, are joined.
 HEAD_LIMIT = 400_000
 #: A piece of more bytes is merged by a task's own heap, not by the fold, whose work grows with the square.
 FOLD_BYTES = 96
@@ -241,36 +242,51 @@ def encode_pieces(pieces: DataFrame, path: str) -> DataFrame:
 
 
 def _assemble(texts: DataFrame, head: tuple[np.ndarray, np.ndarray, np.ndarray], table: np.ndarray, counts_only: bool) -> DataFrame:
-    """texts: (doc_id, text). head: sorted hashes of pieces, bounds of their ids, and these. value (the ids or their
-    number) is null where a piece is missing in head."""
+    """texts: (row, doc_id, text). head: sorted hashes of pieces, bounds of their ids, and these. (row, doc_id, value, missing): the ids
+    or their number, with -1 in place of each piece that head lacks (which counts nothing), and the hashes of these."""
     sc = texts.sparkSession.sparkContext
     shared = sc.broadcast((head, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, bounds, flat), classes = shared.value
-        sizes = np.diff(bounds)
+        sizes = np.append(np.diff(bounds), 0 if counts_only else 1)  # the last one: a piece that head lacks
+        begins = np.append(bounds[:-1], len(flat))
+        values = np.append(flat, np.int32(-1))
         for batch in batches:
             column = batch.column("text").to_pylist()
             for lo, hi in chunks(column):
                 doc, _, _, hashes, _ = _pieces(column[lo:hi], classes)
                 at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
                 hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-                gone = np.bincount(doc[~hit], minlength=hi - lo) > 0
-                fits = ~gone[doc]
-                at, doc = at[fits], doc[fits]
+                at = np.where(hit, at, len(known))
                 n = sizes[at]
                 per = np.bincount(doc, weights=n, minlength=hi - lo).astype(np.int64)
+                gone = np.bincount(doc[~hit], minlength=hi - lo)
+                missing = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(gone)]), pa.int32()), pa.array(hashes[~hit]))
                 if counts_only:
-                    value = pa.array(per, pa.int64(), mask=gone)
+                    value = pa.array(per, pa.int64())
                 else:
                     total = int(n.sum())
-                    places = np.arange(total) + np.repeat(bounds[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if total else np.zeros(0, np.int64)
-                    ends = pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32())
-                    value = pa.ListArray.from_arrays(ends, pa.array(flat[places]), mask=pa.array(gone))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), value], ["doc_id", "value"])
+                    places = np.arange(total) + np.repeat(begins[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if total else np.zeros(0, np.int64)
+                    value = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array(values[places]))
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), batch.column("doc_id").slice(lo, hi - lo), value, missing], ["row", "doc_id", "value", "missing"])
 
     key = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {key}, value {'long' if counts_only else 'array<int>'}")
+    return texts.mapInArrow(run, f"row long, doc_id {key}, value {'long' if counts_only else 'array<int>'}, missing array<long>")
+
+
+def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, value, found ARRAY<STRUCT<k, ids>>) to (doc_id, value) with the ids of the k-th missing piece in place of
+    the k-th mark."""
+    for batch in batches:
+        out = []
+        for value, found in zip(batch.column("value"), batch.column("found"), strict=True):
+            ids = value.values.to_numpy()
+            parts = sorted(((x["k"], x["ids"]) for x in found.as_py()), key=lambda x: x[0])
+            cuts = np.flatnonzero(ids == -1)
+            pieces = [x for a, b, (_, own) in zip(np.append(-1, cuts[:-1]) + 1, cuts, parts, strict=True) for x in (ids[a:b], np.array(own, np.int32))]
+            out.append(np.concatenate([*pieces, ids[cuts[-1] + 1 :]]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "value"])
 
 
 def _head(pieces: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,40 +303,22 @@ def encode_corpus(docs: DataFrame, folder: str | None = None, counts_only: bool
     and a null text have the empty list. An empty table gives an empty table."""
     path = vocabulary_path(folder)
     table = character_classes(path)
-    texts = docs.select("doc_id", "text")
-    known = materialize(encode_pieces(count_pieces(texts, path), path), "pieces")
     name = "n_tokens" if counts_only else "ids"
-    if known.count() <= head_limit:
-        return _assemble(texts, _head(known), table, counts_only).withColumnRenamed("value", name)
-    # rows with a rare piece: their pieces are joined with the table of all pieces
+    known = materialize(encode_pieces(count_pieces(docs.select("text"), path), path), "pieces")
     head = _head(known.orderBy(F.desc("n"), "hash").limit(head_limit))
-    rows = materialize(texts.withColumn("row", F.monotonically_increasing_id()), "rows")
-    first = materialize(_assemble(rows.select(F.col("row").alias("doc_id"), "text"), head, table, counts_only), "first").withColumnRenamed("doc_id", "row")
-    rare = rows.join(first.where("value is null").select("row"), "row")
-    return (
-        rows.select("row", "doc_id")
-        .join(first.where("value is not null").withColumnRenamed("value", name), "row")
-        .unionByName(_joined(rare, known, table, counts_only, name))
-        .drop("row")
-    )
-
-
-def _joined(rare: DataFrame, known: DataFrame, table: np.ndarray, counts_only: bool, name: str) -> DataFrame:
-    shared = rare.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            column, row = b.column("text").to_pylist(), b.column("row").to_numpy()
-            for lo, hi in chunks(column):
-                doc, starts, _, hashes, _ = _pieces(column[lo:hi], shared.value)
-                yield pa.RecordBatch.from_arrays([pa.array(row[lo:hi][doc]), pa.array(starts), pa.array(hashes)], ["row", "at", "hash"])
-
-    placed = rare.select("row", "text").mapInArrow(run, "row long, at long, hash long").join(known.select("hash", "ids"), "hash")
+    # the rows' numbers are drawn once, and kept by the table
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    first = materialize(_assemble(rows, head, table, counts_only), "first")
+    rare = first.where(F.size("missing") > 0)
+    asked = rare.select("row", F.posexplode("missing").alias("k", "hash")).join(known.select("hash", "ids"), "hash")
     if counts_only:
-        per = placed.groupBy("row").agg(F.sum(F.size("ids")).cast("long").alias(name))
+        more = asked.groupBy("row").agg(F.sum(F.size("ids")).alias("more"))
+        done = rare.join(more, "row").select("doc_id", (F.col("value") + F.col("more")).alias("value"))
     else:
-        per = placed.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias(name))
-    return rare.select("row", "doc_id").join(per, "row")
+        found = asked.groupBy("row").agg(F.collect_list(F.struct("k", "ids")).alias("found"))
+        key = first.schema["doc_id"].dataType.simpleString()
+        done = rare.join(found, "row").select("doc_id", "value", "found").mapInArrow(_filled, f"doc_id {key}, value array<int>")
+    return first.where(F.size("missing") == 0).select("doc_id", "value").unionByName(done).withColumnRenamed("value", name)
 
 
 def decode_ids(ids: Column, folder: str | None = None) -> Column:

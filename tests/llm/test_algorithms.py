@@ -126,7 +126,7 @@ def encoder():
 TEXTS = ["", None, " ", "  a", "it's we'll 'tis ''s don't'", "中文，标点。 空 格\n\n\t x", "<|endoftext|>", "ab" * 300, "a  \n b   ", "１２３ x²", "龍喚士 裏覚醒", "カラナギの軽い渡し場", "Không có thì", "​⁠x", "🙂👍🏽é", "'", " '", "'sx", "　中 x"]
 
 
-@pytest.mark.parametrize("head", [100_000, 5])
+@pytest.mark.parametrize("head", [100_000, 5, 0])
 def test_ids(spark, encoder, head):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").withColumn("n", F.lit(1)).withColumn("ids", F.lit("clash"))
     got = {r["doc_id"]: list(r["ids"]) for r in tokens.encode_corpus(docs, head_limit=head).collect()}
