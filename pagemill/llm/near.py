@@ -159,15 +159,31 @@ def estimate(a: str, b: str) -> Column:
     return 1 - 2 * unequal / F.lit(64 * LONGS)
 
 
+#: Records of one band that meet in one task; larger bands are split.
+BLOCK = 500
+
+
+def _banded(signed: DataFrame) -> DataFrame:
+    """One row a record and band: (id, low0, ..., band)."""
+    lows = [f"low{i}" for i in range(LONGS)]
+    return signed.select(*(c for c in signed.columns if c in ("id", "part")), *lows, F.explode("bands").alias("band"))
+
+
+def _likely(left: DataFrame, right: DataFrame, limit: float, more: Column) -> DataFrame:
+    """Pairs (id_a < id_b) of rows of left and right with a band in common whose estimate is not far under limit, once
+    each. A large band is split: each of its left rows has one of several salts, each right one comes with all."""
+    sizes = left.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    a = left.join(sizes, "band", "left").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).alias("a")
+    b = right.join(sizes, "band", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).alias("b")
+    meet = (F.col("a.band") == F.col("b.band")) & (F.col("a.salt") == F.col("b.salt")) & (estimate("a", "b") >= limit - SLACK)
+    return a.join(b, meet & more).select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b")).distinct()
+
+
 def candidates(signed: DataFrame, limit: float) -> DataFrame:
     """Pairs (id_a < id_b) with a band in common whose estimate is not far under limit, once each."""
-    banded = signed.select("id", *(f"low{i}" for i in range(LONGS)), F.explode("bands").alias("band"))
-    a, b = banded.alias("a"), banded.alias("b")
-    return (
-        a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & (estimate("a", "b") >= limit - SLACK))
-        .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
-        .distinct()
-    )
+    banded = _banded(signed)
+    return _likely(banded, banded, limit, F.col("a.id") < F.col("b.id"))
 
 
 def _jaccard(kind: str, k: int):
@@ -198,25 +214,62 @@ def _jaccard(kind: str, k: int):
     return run
 
 
-def similar_classes(texts: DataFrame, limit: float, kind: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """texts: (id BIGINT, text). Members of the classes of equal texts (id, class_id: its least id), and pairs of class
-    ids (id_a, id_b, similarity) of at least limit."""
-    keyed = texts.select("id", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), F.length("text").alias("n"))
-    firsts = keyed.groupBy("h1", "h2", "n").agg(F.min("id").alias("class_id"), F.max("id").alias("last"))
-    several = firsts.where("class_id < last").drop("last")
-    members = materialize(keyed.join(several, ["h1", "h2", "n"]).select("id", "class_id"), "members")
-    others = members.where("id <> class_id").select("id")
-    signed = materialize(signatures(texts, kind, k).join(others, "id", "left_anti"), "signatures")
-    pairs = materialize(candidates(signed, limit), "candidates")
+def checked(pairs: DataFrame, texts: DataFrame, limit: float, kind: str, k: int) -> DataFrame:
+    """pairs: (id_a, id_b); texts: (id, text). (id_a, id_b, similarity) of those of at least limit."""
     wanted = texts.join(pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct(), "id", "left_semi")
-    checked = (
+    return (
         pairs.join(wanted.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a")
         .join(wanted.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
         .select("id_a", "id_b", "text_a", "text_b")
         .mapInArrow(_jaccard(kind, k), "id_a long, id_b long, similarity double")
         .where(F.col("similarity") >= limit)
     )
-    return members, checked
+
+
+def signed_classes(texts: DataFrame, kind: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """texts: (id BIGINT, text). Members of the classes of equal texts (id, class_id: its least id), and the signatures
+    of one text of each class."""
+    keyed = texts.select("id", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), F.length("text").alias("n"))
+    firsts = keyed.groupBy("h1", "h2", "n").agg(F.min("id").alias("class_id"), F.max("id").alias("last"))
+    several = firsts.where("class_id < last").drop("last")
+    members = materialize(keyed.join(several, ["h1", "h2", "n"]).select("id", "class_id"), "members")
+    others = members.where("id <> class_id").select("id")
+    return members, materialize(signatures(texts, kind, k).join(others, "id", "left_anti"), "signatures")
+
+
+def similar_classes(texts: DataFrame, limit: float, kind: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """texts: (id BIGINT, text). Members of the classes of equal texts (id, class_id: its least id), and pairs of class
+    ids (id_a, id_b, similarity) of at least limit."""
+    members, signed = signed_classes(texts, kind, k)
+    pairs = materialize(candidates(signed, limit), "candidates")
+    return members, checked(pairs, texts, limit, kind, k)
+
+
+def linked_classes(texts: DataFrame, limit: float, kind: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """texts: (id BIGINT, text). Members of the classes of equal texts (id, class_id), and (id, root) of class ids that
+    chains of similar pairs connect: the parts that all pairs would give, by few of them.
+
+    First each text is compared with the least one of each of its bands. What that connects is one part already; within
+    a band only texts of other parts than the one that most of its texts belong to meet the rest, so that a band full of
+    near copies takes as many comparisons as it has texts, not pairs."""
+    members, signed = signed_classes(texts, kind, k)
+    banded = _banded(signed)
+    least = banded.groupBy("band").agg(F.min("id").alias("low_id"), F.count("*").alias("n")).where("n > 1").select("band", "low_id")
+    stars = banded.join(least, "band").where("id > low_id").select(F.col("low_id").alias("id_a"), F.col("id").alias("id_b")).distinct()
+    near = materialize(checked(materialize(stars, "stars"), texts, limit, kind, k).select("id_a", "id_b"), "near")
+    roots = components(near)
+    # one part a text: its root, or itself
+    parted = materialize(signed.join(roots, "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root"), "parted")
+    banded = _banded(parted)
+    sizes = banded.groupBy("band", "part").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("band", "most")
+    several = banded.join(most, "band")
+    others = several.where("part <> most").drop("most")
+    # two texts outside the band's main part meet once, one outside meets all inside
+    once = (F.col("a.part") != F.col("b.part")) & ((F.col("b.part") == F.col("b.most")) | (F.col("a.id") < F.col("b.id")))
+    more = materialize(_likely(others, several, limit, once), "candidates")
+    found = checked(more, texts, limit, kind, k).select("id_a", "id_b")
+    return members, components(near.unionByName(materialize(found, "near")))
 
 
 def similar_pairs(records: DataFrame, id_column: str, text_column: str, limit: float = 0.7, k: int = 5, least: int = 200) -> DataFrame:
@@ -243,21 +296,16 @@ def _texts(records: DataFrame, id_column: str, text_column: str, least: int) ->
 
 
 def similar_groups(records: DataFrame, id_column: str, text_column: str, limit: float = 0.7, k: int = 5, least: int = 200) -> DataFrame:
-    """One row a record with a text of at least least characters: (id, group_id, links): the least id of all records
-    that a chain of similar pairs connects it with, and the number of other texts that are similar to its own."""
+    """One row a record with a text of at least least characters: (id, group_id): the least id of all records that a
+    chain of similar pairs connects it with. A row given twice comes twice."""
     texts = _texts(records, id_column, text_column, least)
-    members, pairs = similar_classes(texts, limit, "characters", k)
-    pairs = materialize(pairs.select("id_a", "id_b"), "pairs")
-    both = pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
-    links = both.groupBy("id_a").agg(F.count("*").alias("links")).withColumnRenamed("id_a", "class_id")
-    roots = components(pairs).withColumnsRenamed({"id": "class_id"})
+    members, roots = linked_classes(texts, limit, "characters", k)
     return (
         texts.select("id")
-        .join(members, "id", "left")
+        .join(members.distinct(), "id", "left")
         .withColumn("class_id", F.coalesce("class_id", "id"))
-        .join(roots, "class_id", "left")
-        .join(links, "class_id", "left")
-        .select("id", F.coalesce("root", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+        .join(roots.withColumnRenamed("id", "class_id"), "class_id", "left")
+        .select("id", F.coalesce("root", "class_id").alias("group_id"))
     )
 
 
