@@ -4,9 +4,12 @@ Every stretch of `least` characters holds a window of KEY characters whose hash
 it; equal stretches choose equal windows at equal places. Only suffixes from these places (two in a hundred) are kept,
 and those whose first KEY characters, the prefix that partitions them, occur in one record alone are dropped by a
 count. The rest meet by prefix: sorted, with the lengths of their common beginnings, they are the leaves and inner
-nodes of that prefix's suffix subtree, and the nodes, lengthened to the left, are the repeats. A prefix of more than
-GROUP suffixes gets no tree in one task: it is refined to all windows of `least` characters around its suffixes, which
-are counted with partial sums.
+nodes of that prefix's suffix subtree, and the nodes, lengthened to the left, are the repeats.
+
+The prefixes have the length that leaves their groups small. A prefix of more than GROUP suffixes is lengthened by half
+of what is missing to `least` characters, once to the right and once to the left, since each stretch around it holds one
+of the two; what is still too large is lengthened to all windows of `least` characters around it. Suffixes that agree in
+those are repeats already, and need no tree but a count with partial sums.
 """
 
 from __future__ import annotations
@@ -208,6 +211,32 @@ def _windows(key: int, least: int):
     return run
 
 
+def _lengthen(key: int, least: int):
+    """Rows (prefix, id, at, left, right) of prefixes of key characters to the same of longer ones: those that start at
+    the same place, and those that end there."""
+    longer = key + -(-(least - key) // 2)
+    more, side = longer - key, least - longer
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
+                rows = []
+                for i, at, left, right in zip(*(part.column(c).to_pylist() for c in ("id", "at", "left", "right")), strict=True):
+                    if len(right) >= longer:
+                        rows.append((i, at, left[:side], right))
+                    if len(left) >= more:
+                        rows.append((i, at - more, left[more : more + side], (left[:more][::-1] + right)[:least]))
+                if not rows:
+                    continue
+                ids, places, lefts, rights = map(list, zip(*rows, strict=True))
+                points, starts, _ = code_points(rights)
+                prefix = WindowHash(points).windows(longer)[starts]
+                yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(lefts, pa.string()), pa.array(rights, pa.string())], ["prefix", "id", "at", "left", "right"])
+
+    return run, longer
+
+
 def shared_stretches(texts: DataFrame, least: int, key: int = KEY, group: int = GROUP) -> DataFrame:
     """texts: (id BIGINT, unique; text, not null). Stretches (id, start, end) of at least `least` characters that also
     occur in another record; their union is complete, while single ones may overlap."""
@@ -224,12 +253,21 @@ def shared_stretches(texts: DataFrame, least: int, key: int = KEY, group: int =
         texts.join(found, "id").select("id", "text", "found").mapInArrow(_contexts(key, least), "prefix long, hot boolean, id long, at int, left string, right string"), "contexts"
     )
     columns = ["prefix", "id", "at", "left", "right"]
-    cold = around.where("not hot").select(columns).repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees(key, least), "id long, start long, end long")
-    windows = around.where("hot").select(columns).mapInArrow(_windows(key, least), "window long, id long, start long")
+
+    def trees(rows: DataFrame, length: int) -> DataFrame:
+        return rows.select(columns).repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees(length, least), "id long, start long, end long")
+
+    cold = trees(around.where("not hot"), key)
+    run, longer = _lengthen(key, least)
+    grown = materialize(around.where("hot").select(columns).mapInArrow(run, "prefix long, id long, at int, left string, right string"), "longer")
+    sizes = grown.groupBy("prefix").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("prefix", (F.col("n") > group).alias("hot"))
+    sized = materialize(grown.join(sizes, "prefix"), "sized")
+    warm = trees(sized.where("not hot"), longer)
+    windows = sized.where("hot").select(columns).mapInArrow(_windows(longer, least), "window long, id long, start long")
     often = windows.groupBy("window").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("window")
     hot = windows.join(often, "window").select("id", "start", (F.col("start") + least).alias("end"))
     whole = members.select("id", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))
-    return cold.unionByName(hot).unionByName(whole)
+    return cold.unionByName(warm).unionByName(hot).unionByName(whole)
 
 
 def runs(stretches: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def brute_spans(rows, least):
     return out
 
 
-@pytest.mark.parametrize("group", [2, 48])
+@pytest.mark.parametrize("group", [2, 5, 12, 48])
 def test_shared_spans(spark, group):
     rng = random.Random(group)
     text = lambda n: "".join(rng.choices("abcd 汉字𠀀\n", k=n))
