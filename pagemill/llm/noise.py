@@ -2,7 +2,8 @@
 
 Lines are labelled by a hidden Markov model with the states body, break, header, page number and notice. Its emissions
 are layout features of a line (shape, distance to the page's edge, agreement with a title of the book), and it is
-fitted on a bounded sample of pages for which a proofread text exists. The same pages show which characters are taken
+fitted on a bounded sample of pages for which a proofread text exists: whether a line stayed in that text, between the
+lines around it, says whether it is body, whatever its features. The states are written once. The same pages show which characters are taken
 for which others. A word (in scripts without spaces, a character with its neighbours) is misread if it is rare in the
 whole corpus and becomes a far more frequent one when such a character is put back.
 """
@@ -94,7 +95,7 @@ def line_symbols(lines: list[str], titles: list[str], notices: frozenset[str] =
     bodies = [x.strip() for x in lines]
     noted = set()
     if notices:
-        noted = {i for i, x in enumerate(bodies) if x and len(x) <= 120 and letters(x) in notices and not agrees(letters(x), titles)}
+        noted = {i for i, x in enumerate(bodies) if x and letters(x) in notices and not agrees(letters(x), titles)}
     filled = [i for i, x in enumerate(bodies) if x and i not in noted]
     edge = {i: min(k, len(filled) - 1 - k, 3) for k, i in enumerate(filled)}
     out = []
@@ -107,9 +108,9 @@ def line_symbols(lines: list[str], titles: list[str], notices: frozenset[str] =
             shape = 6
         elif body.startswith("#"):
             shape = 0
-        elif len(body) <= 24 and _NUMBER.fullmatch(body):
+        elif _NUMBER.fullmatch(body):
             shape = 1
-        elif near < 3 and len(body) <= 120 and agrees(letters(body), titles):
+        elif near < 3 and agrees(letters(body), titles):
             shape = 2
         elif body[-1] in _ENDS:
             shape = 3
@@ -126,14 +127,13 @@ SYMBOLS = 1 + 7 * 4 * 2
 @dataclass
 class Model:
     """Logarithms of the chances of the first state, of transitions, of the last state and of emissions; the strings
-    that are recognised wrongly, with what they stand for; the letters of each site's notices."""
+    that are recognised wrongly, with what they stand for."""
 
     first: np.ndarray
     then: np.ndarray
     last: np.ndarray
     emits: np.ndarray
     confused: dict[str, list[str]] = field(default_factory=dict)
-    notices: dict[str, frozenset[str]] = field(default_factory=dict)
 
     def label(self, pages: list[list[int]]) -> list[np.ndarray]:
         """The likeliest states of each page's lines, for all pages together."""
@@ -167,32 +167,49 @@ class Model:
         return out
 
 
-def known_labels(lines: list[str], symbols: list[int], proof: str) -> list[int]:
-    """The states of a page's lines, by its proofread text: a line that is not in it was dropped."""
+def known_labels(lines: list[str], titles: list[str], proof: str) -> list[int]:
+    """The states of a page's lines, by its proofread text: a line is body if it is there in its place, between those
+    that long lines before and behind it have; another one was dropped, and is a page number if it has no letters but
+    those of numerals, a header if it agrees with a title, a notice else. A heading is body in any case, and what the
+    text has only as a heading is not the place of a line without its marks."""
     target = "".join(proof.split())
+    bodies = ["".join(consistent(line).split()).rstrip("-‐‑¬­⁃–=") for line in lines]
+    # places of long lines, in order: the start or the end of one is found as it stands, or a part within
+    begin, end = [-1] * len(lines), [-1] * len(lines)
+    at = 0
+    for i, body in enumerate(bodies):
+        if len(body) < 12:
+            continue
+        for offset in (0, len(body) - 12, len(body) // 3):
+            found = target.find(body[offset : offset + 12], max(0, at - 12))
+            if 0 <= found <= at + 400 + 2 * len(body) and (body[0] == "#" or "#" not in target[max(found - offset - 1, 0) : found]):
+                begin[i], end[i] = max(found - offset, 0), min(found - offset + len(body), len(target))
+                at = end[i]
+                break
+    behind = len(target)
+    nexts = [behind] * len(lines)
+    for i in range(len(lines) - 1, -1, -1):
+        nexts[i] = behind
+        if begin[i] >= 0:
+            behind = begin[i]
     out, at = [], 0
-    for line, symbol in zip(lines, symbols, strict=True):
-        body = "".join(consistent(line).split())
-        if not body:
+    for i, (line, body) in enumerate(zip(lines, bodies, strict=True)):
+        if not line.strip():
             out.append(BREAK)
             continue
-        shape = (symbol - 1) // 8
-        probe = body.rstrip("-‐‑¬­⁃–=")
-        # the line's place in the text: its start or its end is found as it stands, or most of its pairs are
-        found = -1
-        for part in (probe[:12], probe[-12:], probe[len(probe) // 3 : len(probe) // 3 + 8]):
-            if len(part) >= min(5, len(probe)) and (p := target.find(part, max(0, at - 40), at + 400 + 2 * len(probe))) >= 0:
-                found = p
-                break
-        if found >= 0 and shape not in (1, 2, 6):
-            at = found
+        here = -1 if begin[i] >= 0 or not body else target.find(body, max(at - 2, 0), max(nexts[i] + 2, at))
+        if here > 0 and target[here - 1] == "#" and body[0] != "#":
+            here = -1
+        if begin[i] >= 0 or here >= 0 or line.lstrip().startswith("#"):
             out.append(BODY)
-        elif shape == 6:
-            out.append(NOTICE)
-        elif found >= 0 and shape == 2:
-            out.append(BODY if symbol and line.strip().startswith("#") else HEADER)
+            at = end[i] if begin[i] >= 0 else max(at, here + len(body))
+        elif _NUMBER.fullmatch(line.strip()):
+            out.append(NUMBER)
+        elif agrees(letters(line), titles):
+            out.append(HEADER)
         else:
-            out.append({1: NUMBER, 2: HEADER}.get(shape, NOTICE if len(probe) > 3 and (symbol - 1) // 2 % 4 < 3 else BODY))
+            # a line of running text whose characters were misread too often to be found is no notice
+            out.append(NOTICE if len(body) > 3 and nexts[i] - at < max(len(body) // 2, 4) else BODY)
     return out
 
 
@@ -262,7 +279,7 @@ def page_counts(text: str, proof: str, titles: list[str], notices: frozenset[str
     out: Counter = Counter()
     lines = text.split("\n")
     symbols = line_symbols(lines, titles, notices)
-    states = known_labels(lines, symbols, proof)
+    states = known_labels(lines, titles, proof)
     out["first", str(states[0]), ""] += 1
     out["last", str(states[-1]), ""] += 1
     for a, b in zip(states, states[1:]):
@@ -508,56 +525,68 @@ def prepared(records: DataFrame, books: DataFrame, contexts: DataFrame) -> DataF
     return rows.join(volume_titles(books, contexts, records), ["book_id", "volume"], "left").select("result_id", "site", "text", F.coalesce("titles", F.array().cast("array<string>")).alias("titles"))
 
 
-def site_notices(pages: DataFrame, least: int = 5, share: float = 0.04) -> dict[str, frozenset[str]]:
-    """The letters of lines that stand near the edges of at least least pages and of share of the pages of a site. No
-    more than EDGE / share lines of a site can."""
+def site_notices(pages: DataFrame, least: int = 5, share: float = 0.04) -> DataFrame:
+    """(site, notices ARRAY<STRING>): the letters of lines that stand near the edges of at least least pages and of share
+    of the pages of a site. No more than EDGE / share lines of a site can."""
     filled = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     ends = F.concat(F.slice(filled, F.lit(1), F.lit(EDGE // 2)), F.slice(filled, F.greatest(F.size(filled) - EDGE // 2 + 1, F.lit(1)), F.lit(EDGE // 2)))
-    found = pages.select("site", F.explode(F.array_distinct(F.transform(ends, lambda x: F.lower(F.regexp_replace(F.substring(x, 1, 120), r"\P{L}+", ""))))).alias("letters"))
-    counts = found.where((F.length("letters") >= 6) & (F.col("site") != "")).groupBy("site", "letters").agg(F.count("*").alias("n"))
+    found = pages.where("site <> ''").select("site", F.explode(F.array_distinct(F.transform(ends, lambda x: F.lower(F.regexp_replace(x, r"\P{L}+", ""))))).alias("letters"))
+    counts = found.where(F.length("letters") >= 6).groupBy("site", "letters").agg(F.count("*").alias("n"))
     totals = pages.groupBy("site").agg(F.count("*").alias("total"))
-    rows = counts.join(totals, "site").where((F.col("n") >= least) & (F.col("n") >= share * F.col("total"))).select("site", "letters").collect()
-    out: dict[str, set[str]] = {}
-    for r in rows:
-        out.setdefault(r["site"], set()).add(r["letters"])
-    return {site: frozenset(x) for site, x in out.items()}
+    often = counts.join(totals, "site").where((F.col("n") >= least) & (F.col("n") >= share * F.col("total")))
+    return often.groupBy("site").agg(F.collect_set("letters").alias("notices"))
 
 
 def fitted(pages: DataFrame, overrides: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model from at most `sample` proofread pages, chosen by the hash of their id."""
-    notices = site_notices(pages)
+    """The model from at most `sample` proofread pages, chosen by the hash of their id. pages: (result_id, text, titles,
+    notices)."""
     chosen = overrides.where("markdown is not null").select(F.col("result_id").cast("long").alias("result_id"), F.col("markdown").alias("proof"))
     chosen = chosen.orderBy(F.xxhash64("result_id"), "result_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter = Counter()
         for batch in batches:
-            for site, text, proof, titles in zip(*(batch.column(c).to_pylist() for c in ("site", "text", "proof", "titles")), strict=True):
-                sums.update(page_counts(text, proof, titles, notices.get(site, frozenset())))
+            for text, proof, titles, notices in zip(*(batch.column(c).to_pylist() for c in ("text", "proof", "titles", "notices")), strict=True):
+                sums.update(page_counts(text, proof, titles, frozenset(notices or ())))
         columns = list(zip(*sums, strict=True)) if sums else [[], [], []]
         yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(sums.values(), pa.int64())], ["what", "a", "b", "n"])
 
-    pairs = pages.join(chosen, "result_id").select("site", "text", "proof", "titles").repartition(pages.sparkSession.sparkContext.defaultParallelism)
+    pairs = pages.join(chosen, "result_id").select("text", "proof", "titles", "notices").repartition(pages.sparkSession.sparkContext.defaultParallelism)
     # as many rows as states, symbols and characters allow
     rows = pairs.mapInArrow(run, "what string, a string, b string, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
-    model = fit({(r["what"], r["a"], r["b"]): r["n"] for r in rows})
-    model.notices = notices
-    return model
+    return fit({(r["what"], r["a"], r["b"]): r["n"] for r in rows})
+
 
+def labelled(pages: DataFrame, model: Model) -> DataFrame:
+    """pages: (result_id, text, titles, notices). (result_id, text, states ARRAY<TINYINT>) with the state of each line."""
+    shared = pages.sparkSession.sparkContext.broadcast(model)
 
-def _labelled(batch: pa.RecordBatch, model: Model) -> Iterator[list[tuple[int, list[str], np.ndarray]]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                lines = [t.split("\n") for t in part.column("text").to_pylist()]
+                titles, notices = part.column("titles").to_pylist(), part.column("notices").to_pylist()
+                states = shared.value.label([line_symbols(x, t, frozenset(n or ())) for x, t, n in zip(lines, titles, notices, strict=True)])
+                bounds = np.concatenate([[0], np.cumsum([len(s) for s in states])]).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(states).astype(np.int8)))
+                yield pa.RecordBatch.from_arrays([part.column("result_id"), part.column("text"), column], ["result_id", "text", "states"])
+
+    return pages.select("result_id", "text", "titles", "notices").mapInArrow(run, "result_id long, text string, states array<tinyint>")
+
+
+def _groups(batch: pa.RecordBatch) -> Iterator[list[tuple[int, list[str], np.ndarray]]]:
     """Groups of pages: their ids, lines and states."""
     for lo in range(0, batch.num_rows, 512):
         part = batch.slice(lo, 512)
-        lines = [t.split("\n") for t in part.column("text").to_pylist()]
-        sites, titles = part.column("site").to_pylist(), part.column("titles").to_pylist()
-        symbols = [line_symbols(x, t, model.notices.get(site, frozenset())) for x, t, site in zip(lines, titles, sites, strict=True)]
-        yield list(zip(part.column("result_id").to_pylist(), lines, model.label(symbols), strict=True))
+        states = part.column("states")
+        flat, bounds = states.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(states.value_lengths().to_numpy())])
+        lines = (t.split("\n") for t in part.column("text").to_pylist())
+        yield [(i, x, flat[a:b]) for i, x, a, b in zip(part.column("result_id").to_pylist(), lines, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def word_numbers(pages: DataFrame, model: Model) -> DataFrame:
-    """(key, n) of all words and character pairs of the bodies."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+def word_numbers(pages: DataFrame) -> DataFrame:
+    """(key, n) of all words and character pairs of the bodies. pages: of labelled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -573,7 +602,7 @@ def word_numbers(pages: DataFrame, model: Model) -> DataFrame:
                 counts = np.fromiter(words.values(), np.int64, len(words))
                 return pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys, mine])), pa.array(np.concatenate([n, counts]))], ["key", "n"])
 
-            for group in _labelled(batch, shared.value):
+            for group in _groups(batch):
                 for _, lines, states in group:
                     body, _ = body_text(lines, states)
                     bodies.append(body)
@@ -596,10 +625,12 @@ def known_numbers(numbers: DataFrame, limit: int = KNOWN) -> Numbers:
 
 
 def _noise_parts(pages: DataFrame, overrides: DataFrame, bodies: Callable, limit: int):
-    """The pages, with rarer keys' numbers if there are any, and the broadcast model and numbers. bodies: of a page's
-    lines and states, the texts that are judged."""
+    """The pages with their states, with rarer keys' numbers if there are any, and the broadcast model and numbers.
+    bodies: of a page's lines and states, the texts that are judged."""
+    pages = pages.join(site_notices(pages), "site", "left")
     model = fitted(pages, overrides)
-    counted = materialize(word_numbers(pages, model).where("n >= 2"), "numbers")
+    pages = materialize(labelled(pages, model), "labelled")
+    counted = materialize(word_numbers(pages).where("n >= 2"), "numbers")
     numbers = known_numbers(counted, limit)
     shared = pages.sparkSession.sparkContext.broadcast((model, numbers))
     if not numbers.ceiling:
@@ -608,7 +639,7 @@ def _noise_parts(pages: DataFrame, overrides: DataFrame, bodies: Callable, limit
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, numbers = shared.value
         for batch in batches:
-            for group in _labelled(batch, model):
+            for group in _groups(batch):
                 keys = [asked_keys(bodies(lines, states), model, numbers) for _, lines, states in group]
                 ids = np.repeat(np.array([g[0] for g in group], np.int64), [len(k) for k in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(keys))], ["result_id", "key"])
@@ -629,7 +660,7 @@ def line_noise(records: DataFrame, books: DataFrame, contexts: DataFrame, overri
         known: dict[str, str | None] = {}
         for batch in batches:
             numbers = most.with_those_of(batch)
-            for group in _labelled(batch, model):
+            for group in _groups(batch):
                 ids, lines, kinds = [], [], []
                 for i, noise in zip([g[0] for g in group], noise_of(group, model, numbers, known), strict=True):
                     for k, kind in noise:
@@ -685,7 +716,7 @@ def repaired_pages(records: DataFrame, books: DataFrame, contexts: DataFrame, ov
         known: dict[str, str | None] = {}
         for batch in batches:
             numbers = most.with_those_of(batch)
-            for group in _labelled(batch, model):
+            for group in _groups(batch):
                 texts = [page_paragraphs(lines, states, model, numbers, known) for _, lines, states in group]
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in group], pa.int64()), pa.array(texts, pa.string())], ["result_id", "markdown"])
 

@@ -126,6 +126,15 @@ def noise_tables(spark, rows):
     return pages, books, contexts, overrides
 
 
+def test_labels_come_from_the_proofread_text():
+    """A number that stays in its place is body, whatever its shape, and a title's line that was dropped a header."""
+    lines = ["The Long Road", "the traveller walked along the river and slept.", "12", "the wind came from the east that night.", "", "Share this page with friends", "13"]
+    proof = "the traveller walked along the river and slept. 12 the wind came from the east that night."
+    states = noise.known_labels(lines, ["thelongroad"], proof)
+    assert states == [noise.HEADER, noise.BODY, noise.BODY, noise.BODY, noise.BREAK, noise.NOTICE, noise.NUMBER]
+    assert noise.known_labels([""], [], "") == [noise.BREAK]
+
+
 def test_line_noise(spark):
     got = sorted((r["result_id"], r["line_no"], r["kind"]) for r in noise.line_noise(*noise_tables(spark, NOISE_ROWS)).collect())
     assert got == [(1, 1, "header"), (1, 3, "hyphen"), (1, 4, "hyphen"), (1, 7, "page_number"), (2, 1, "header"), (2, 5, "page_number")]
