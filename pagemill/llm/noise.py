@@ -627,7 +627,8 @@ def known_numbers(numbers: DataFrame, limit: int = KNOWN) -> Numbers:
 def _noise_parts(pages: DataFrame, overrides: DataFrame, bodies: Callable, limit: int):
     """The pages with their states, with rarer keys' numbers if there are any, and the broadcast model and numbers.
     bodies: of a page's lines and states, the texts that are judged."""
-    pages = pages.join(site_notices(pages), "site", "left")
+    # as a table whose size is known, so that a small one is broadcast and the texts stay where they are
+    pages = pages.join(materialize(site_notices(pages), "notices"), "site", "left")
     model = fitted(pages, overrides)
     pages = materialize(labelled(pages, model), "labelled")
     counted = materialize(word_numbers(pages).where("n >= 2"), "numbers")
