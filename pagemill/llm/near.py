@@ -171,13 +171,18 @@ def _banded(signed: DataFrame) -> DataFrame:
 
 def _likely(left: DataFrame, right: DataFrame, limit: float, more: Column) -> DataFrame:
     """Pairs (id_a < id_b) of rows of left and right with a band in common whose estimate is not far under limit, once
-    each. A large band is split: each of its left rows has one of several salts, each right one comes with all."""
-    sizes = left.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("salts"))
-    salts = F.coalesce("salts", F.lit(1))
-    a = left.join(sizes, "band", "left").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).alias("a")
-    b = right.join(sizes, "band", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).alias("b")
-    meet = (F.col("a.band") == F.col("b.band")) & (F.col("a.salt") == F.col("b.salt")) & (estimate("a", "b") >= limit - SLACK)
-    return a.join(b, meet & more).select(F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b")).distinct()
+    each. Of a large band, each left row has one of several salts, and each right one comes with all."""
+    # as a table whose size is known, so that a small one is broadcast
+    large = left.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("salts"))
+    large = materialize(large, "large")
+    near = (estimate("a", "b") >= limit - SLACK) & more
+    pair = (F.least("a.id", "b.id").alias("id_a"), F.greatest("a.id", "b.id").alias("id_b"))
+    a, b = (side.join(large, "band", "left_anti").alias(name) for side, name in ((left, "a"), (right, "b")))
+    small = a.join(b, (F.col("a.band") == F.col("b.band")) & near).select(*pair)
+    a = left.join(large, "band").withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int")).alias("a")
+    b = right.join(large, "band").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("b")
+    split = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.salt") == F.col("b.salt")) & near).select(*pair)
+    return small.unionByName(split).distinct()
 
 
 def candidates(signed: DataFrame, limit: float) -> DataFrame:
