@@ -48,6 +48,7 @@ _NUMBER = re.compile(
     rf"|(?:page\s*|trang\s*|第\s*)?[0-9OolI]{{1,4}}\s*(?:[/／|]|of|共)\s*[0-9OolI]{{1,4}}\s*[页頁]?",
     re.IGNORECASE,
 )
+_PLAIN = re.compile(r"[0-9OolI\s]+")
 _LETTERS = re.compile(r"[\W\d_]+")
 _ENDS = frozenset("。．.!?！？；;，,：:、」”\"'’)）")
 _MARKS = frozenset("-‐‑¬­⁃–=")
@@ -91,13 +92,17 @@ def agrees(own: str, titles: list[str]) -> bool:
 
 def line_symbols(lines: list[str], titles: list[str], notices: frozenset[str] = frozenset()) -> list[int]:
     """The emission of each line: its shape by its distance to the nearer edge of the page, counted in lines with text
-    that are no notices of the site."""
+    that are no notices of the site, nor, for a number, titles."""
     bodies = [x.strip() for x in lines]
     noted = set()
     if notices:
         noted = {i for i, x in enumerate(bodies) if x and letters(x) in notices and not agrees(letters(x), titles)}
     filled = [i for i, x in enumerate(bodies) if x and i not in noted]
     edge = {i: min(k, len(filled) - 1 - k, 3) for k, i in enumerate(filled)}
+    titled = {i for i in [*filled[:3], *filled[-3:]] if not bodies[i].startswith("#") and not _NUMBER.fullmatch(bodies[i]) and agrees(letters(bodies[i]), titles)}
+    # a title at the edge does not move a number from it, as a line of the body does
+    inner = [i for i in filled if i not in titled]
+    depth = {i: min(k, len(inner) - 1 - k, 3) for k, i in enumerate(inner)}
     out = []
     for i, body in enumerate(bodies):
         if not body:
@@ -109,8 +114,9 @@ def line_symbols(lines: list[str], titles: list[str], notices: frozenset[str] =
         elif body.startswith("#"):
             shape = 0
         elif _NUMBER.fullmatch(body):
-            shape = 1
-        elif near < 3 and agrees(letters(body), titles):
+            # sections have plain numbers, too
+            shape, near = 1 if _PLAIN.fullmatch(body) else 7, depth[i]
+        elif i in titled:
             shape = 2
         elif body[-1] in _ENDS:
             shape = 3
@@ -121,7 +127,7 @@ def line_symbols(lines: list[str], titles: list[str], notices: frozenset[str] =
     return out
 
 
-SYMBOLS = 1 + 7 * 4 * 2
+SYMBOLS = 1 + 8 * 4 * 2
 
 
 @dataclass
@@ -305,13 +311,14 @@ def fit(counts: dict[tuple[str, str, str], int]) -> Model:
     # without any page: what a line's shape alone says
     for near in range(4):
         for bare in range(2):
-            number, title = 1 + (4 + near) * 2 + bare, 1 + (8 + near) * 2 + bare
-            emits[NUMBER, number] += 2 if near < 3 else 0.05
+            number, title, marked = (1 + (shape * 4 + near) * 2 + bare for shape in (1, 2, 7))
+            for symbol in (number, marked):
+                emits[NUMBER, symbol] += 2 if near < 3 else 0.05
+                emits[BODY, symbol] += 0.02 if near < 2 else 0.2 if near < 3 else 1
             emits[HEADER, title] += 2 if near < 3 else 0.05
             emits[NOTICE, 1 + (24 + near) * 2 + bare] += 3
             for shape in (0, 3, 4, 5):
                 emits[BODY, 1 + (shape * 4 + near) * 2 + bare] += 1
-            emits[BODY, number] += 0.02 if near < 2 else 0.2 if near < 3 else 1
             emits[NOTICE, 1 + (4 * 4 + near) * 2 + bare] += 0.3 if near < 2 and bare else 0.02
     emits[BREAK] = 1e-6
     emits[:, 0] = 1e-6

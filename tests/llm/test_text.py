@@ -223,3 +223,14 @@ def test_numbers_beyond_the_broadcast_ones(spark):
     assert not {400, 413} & {r[0] for r in whole}
     repaired = sorted(map(tuple, noise.repaired_pages(*tables).collect()))
     assert sorted(map(tuple, noise.repaired_pages(*tables, limit=5).collect())) == repaired
+
+
+def test_numbers_of_sections_have_other_features_than_page_numbers():
+    titles = ["chapteronetheriver"]
+    page = ["Chapter one: the river", "", "12", "", "It was late.", "", "3", "", "No one came.", "", "— 13 —"]
+    symbols = noise.line_symbols(page, titles)
+    shape_near = {i: divmod((symbols[i] - 1) // 2, 4) for i in (0, 2, 6, 10)}
+    # the title at the edge does not move the number from it; the section's number is two lines away
+    assert shape_near == {0: (2, 0), 2: (1, 0), 6: (1, 2), 10: (7, 0)}
+    assert all(0 <= s < noise.SYMBOLS for s in symbols)
+    assert noise.line_symbols(["", "7", ""], []) == [0, 1 + (1 * 4 + 0) * 2 + 1, 0]
