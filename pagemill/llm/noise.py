@@ -312,9 +312,10 @@ def fit(counts: dict[tuple[str, str, str], int]) -> Model:
     for near in range(4):
         for bare in range(2):
             number, title, marked = (1 + (shape * 4 + near) * 2 + bare for shape in (1, 2, 7))
-            for symbol in (number, marked):
-                emits[NUMBER, symbol] += 2 if near < 3 else 0.05
-                emits[BODY, symbol] += 0.02 if near < 2 else 0.2 if near < 3 else 1
+            # a plain number behind a line of the body is a section's, unless pages say otherwise
+            for symbol, inside in ((number, 0.05), (marked, 0.5)):
+                emits[NUMBER, symbol] += 2 if near == 0 else inside if near < 3 else 0.05
+                emits[BODY, symbol] += 0.02 if near == 0 else 0.2 if near < 3 else 1
             emits[HEADER, title] += 2 if near < 3 else 0.05
             emits[NOTICE, 1 + (24 + near) * 2 + bare] += 3
             for shape in (0, 3, 4, 5):
