@@ -133,7 +133,8 @@ def share_report(docs: DataFrame, targets: DataFrame, folder: str | None = None,
     used = streams(sizes, rows, seed).groupBy("source").agg(F.sum("n_tokens").alias("used"), F.max("repeat").alias("most"))
     named = docs.sparkSession.createDataFrame([(r["source"], r["target_share"], r["max_repeats"], r["available"]) for r in rows], "source string, target_share double, max_repeats int, available_tokens long")
     joined = named.join(used, "source", "left").fillna(0, ["used", "most"])
-    total = used.agg(F.sum("used").alias("total"))
-    return joined.join(F.broadcast(total)).select(
-        "source", "target_share", "max_repeats", "available_tokens", F.col("used").alias("used_tokens"), F.col("most").alias("most_repeats"), F.coalesce(F.col("used") / F.col("total"), F.lit(0.0)).alias("actual_share")
+    # one row a source, which are few
+    total = F.sum("used").over(Window.partitionBy(F.lit(0)))
+    return joined.withColumn("total", total).select(
+        "source", "target_share", "max_repeats", "available_tokens", F.col("used").alias("used_tokens"), F.col("most").alias("most_repeats"), F.when(F.col("total") > 0, F.col("used") / F.col("total")).otherwise(0.0).alias("actual_share")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import load
@@ -137,11 +137,11 @@ def _(spark, folder):
     docs, targets = load(spark, folder, "documents"), load(spark, folder, "mix_targets")
     rows = mixture.mixture(docs, targets)
     per = rows.groupBy("source").agg(F.max("repeat").alias("most"), F.count("*").alias("n"), F.count_distinct("doc_id", "repeat").alias("once"), F.sum("n_tokens").alias("used"))
-    total = per.agg(F.sum("used").alias("total"), F.sum("used").cast("double").alias("again"))
-    return (
-        per.join(targets.select("source", "max_repeats"), "source")
-        .join(F.broadcast(total))
-        .select("source", (F.col("most") <= F.col("max_repeats")).alias("within_repeats"), (F.col("n") == F.col("once")).alias("once_a_repeat"), (F.abs(F.col("total") - F.col("again")) < 1).alias("whole_share"))
+    # one row a source, which are few
+    every = Window.partitionBy(F.lit(0))
+    shared = per.withColumn("share", F.col("used") / F.sum("used").over(every)).withColumn("whole", F.sum("share").over(every))
+    return shared.join(targets.select("source", "max_repeats"), "source").select(
+        "source", (F.col("most") <= F.col("max_repeats")).alias("within_repeats"), (F.col("n") == F.col("once")).alias("once_a_repeat"), (F.abs(F.col("whole") - 1) < 1e-9).alias("whole_share")
     )
 
 
